@@ -113,7 +113,7 @@ class Matcher:
         bare = " ".join(w for w in text.split() if w not in self.how.fillers)
         if bare != text and (bare in self.names or bare.replace(" ", "") in self.squashed):
             return self.names.get(bare, self.squashed.get(bare.replace(" ", ""))), "name"
-        similar, entry = self.similar(bare or text)
+        similar, entry = max(self.similar(text), self.similar(bare)) if bare and bare != text else self.similar(text)
         found = self.mentions(text)
         if found:
             longest = max(found)
@@ -237,6 +237,10 @@ def _token_set(words: Sequence[str], name: Sequence[str]) -> float:
     return 2 * total / size
 
 
+def _named(attr, found):
+    return F.transform(found, lambda t: F.struct(attr.alias("attr"), t.alias("term")))
+
+
 def map_values(df: DataFrame, id_col: str, columns: Sequence[str], reference: DataFrame, how: Matching) -> DataFrame:
     """(id, attr, term, ref_id, found_by) of every distinct typed term of a record that is no reference value.
 
@@ -246,7 +250,7 @@ def map_values(df: DataFrame, id_col: str, columns: Sequence[str], reference: Da
     ``MAX_ENTRIES`` is refused: it must be split by attribute.
     """
     exact = reference.select("attr", F.lower("ref_value").alias("term")).dropna().distinct()
-    cells = [F.transform(F.array_distinct(terms(F.col(c))), lambda t, c=c: F.struct(F.lit(c).alias("attr"), t.alias("term"))) for c in columns]
+    cells = [_named(F.lit(c), F.array_distinct(terms(F.col(c)))) for c in columns]
     empty = F.array().cast("array<struct<attr:string,term:string>>")
     typed = df.select(F.col(id_col), F.explode(F.concat(*(F.coalesce(c, empty) for c in cells))).alias("t")).select(id_col, "t.*").distinct()
     entries = reference.where("ref_id is not null and attr is not null and ref_value is not null").select("attr", "ref_id", "ref_value").limit(MAX_ENTRIES + 1).collect()

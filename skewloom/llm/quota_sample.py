@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import blank, plain
 
-CELL = "\x00cell"
+CELL = "joint cell"
 
 
 def labelled_rows(df: DataFrame, stratum: str, id_col: str, text_col: str, attributes: list[str], length: str, width: int = 50) -> DataFrame:
@@ -45,16 +45,14 @@ def reservoirs(rows: DataFrame, attributes: list[str], capacity: int, seed: int
     The attribute of a joint cell is ``CELL`` and its label joins the labels; ``joint=False`` leaves these out. Rows with a null label
     are in no category of that attribute and in no joint cell. ``draw`` is the hash that ranks the ids.
     """
-    keyed = rows.withColumn("draw", F.xxhash64(F.lit(seed), F.col("id")))
+    cell = F.concat(*(x for a in attributes for x in (F.lit("\x1f"), F.col(a))))  # null if one of them is
+    keyed = rows.withColumn("draw", F.xxhash64(F.lit(seed), F.col("id"))).withColumn(CELL, F.substring(cell, 2, 1 << 30))
 
     def one_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: dict[tuple, dict] = {}
         for b in batches:
-            whole = b[attributes].notna().all(axis=1)
-            cell = b[attributes].astype("object").agg("\x1f".join, axis=1).where(whole) if whole.any() else pd.Series(None, index=b.index, dtype="object")
             for attr in [*attributes, *[CELL] * joint]:
-                label = cell if attr == CELL else b[attr]
-                for key, part in b.assign(label=label).dropna(subset=["label"]).groupby(["stratum", "label"], sort=False):
+                for key, part in b.dropna(subset=[attr]).groupby(["stratum", attr], sort=False):
                     part = part.drop_duplicates("id").nsmallest(capacity, ["draw", "id"])
                     old = kept.setdefault((key[0], attr, key[1]), {})
                     old.update(zip(part["id"], part["draw"]))

@@ -29,11 +29,8 @@ def term_frequency(
     records count as records. An empty table gives no rows.
     """
     records = latest(df, id_col, columns, order)
-    per_record = records.select(
-        F.explode(
-            F.concat(*(F.transform(_counts(F.col(c)), lambda x, c=c: F.struct(F.lit(c).alias("attr"), x["term"].alias("term"), x["n"].alias("n"))) for c in columns))
-        ).alias("t")
-    ).select("t.*")
+    found = F.concat(*(_counts(F.lit(c), F.col(c)) for c in columns))
+    per_record = records.select(F.explode(found).alias("t")).select("t.*")
     total = df.agg(F.count_distinct(id_col).alias("_total"))
     counted = per_record.groupBy("attr", "term").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("records"))
     share = F.col("records") / F.col("_total")
@@ -44,10 +41,8 @@ def term_frequency(
     )
 
 
-def _counts(cell):
-    """[(term, n)] of one cell; null gives an empty list."""
+def _counts(attr, cell):
+    """[(attr, term, n)] of one cell; null gives an empty list."""
     found = F.coalesce(terms(cell), F.array().cast("array<string>"))
-    return F.transform(
-        F.array_distinct(found),
-        lambda t: F.struct(t.alias("term"), F.size(F.filter(found, lambda x: x == t)).cast("bigint").alias("n")),
-    )
+    many = lambda t: F.size(F.filter(found, lambda x: x == t)).cast("bigint")
+    return F.transform(F.array_distinct(found), lambda t: F.struct(attr.alias("attr"), t.alias("term"), many(t).alias("n")))

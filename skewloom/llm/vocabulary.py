@@ -25,7 +25,7 @@ ALIASES = {
         "Biochemistry": ["biochem", "biological chemistry"],
         "Bioinformatics": ["bioinfo", "computational biology"],
         "Biophysics": ["biophys", "biological physics"],
-        "Cancer Biology": ["oncology", "cancer research", "cancer"],
+        "Cancer Biology": ["oncology", "cancer research", "cancer", "tumour biology", "tumor biology"],
         "Cell Biology": ["cell bio", "cell biol", "cellular biology", "biology of the cell", "cytology"],
         "Clinical Trials": ["clinical trial", "clinical studies"],
         "Developmental Biology": ["dev bio", "development biology", "biology of development", "embryology"],
