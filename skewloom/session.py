@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -23,3 +28,21 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application, as a cluster has no other copy of it."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    home = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="skewloom-ship-")) / "skewloom.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, p.relative_to(home.parent))
+    spark.sparkContext.addPyFile(str(target))
+    atexit.register(shutil.rmtree, target.parent, ignore_errors=True)
+    _SHIPPED.add(app)
