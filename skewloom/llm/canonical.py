@@ -12,6 +12,7 @@ import re
 import unicodedata
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -73,6 +74,7 @@ class Matcher:
         self.bins = [(low, high, next((i for i, v in entries if v.lower() == to.lower()), None)) for low, high, to in how.bins.get(attr, ())]
         names: dict[str, set[int]] = {}
         self.tokens: list[tuple[int, tuple[str, ...]]] = []
+        entries = sorted(entries, reverse=True)  # of equal names the smallest id stays
         by_name = {v.lower(): i for i, v in entries}
         for i, value in entries:
             own = fold(value)
@@ -142,17 +144,23 @@ class Matcher:
         """The greatest similarity and its entry; -1 where two entries tie."""
         squashed = text.replace(" ", "")
         best: dict[int, float] = {}
+        top = 0.0
         if len(self.bags):
             # Letters counted: the edit distance is at least half the sum of the differences.
             gap = np.abs(self.bags - _bag(squashed)).sum(axis=1) / 2
-            for k in np.flatnonzero(gap <= 0.3 * max(len(squashed), 4)):
+            near = np.flatnonzero(gap <= 0.3 * max(len(squashed), 4))
+            for k in near[np.argsort(gap[near], kind="stable")]:
                 name, i = self.squashed_names[k]
-                if len(name) >= 4:
-                    best[i] = max(best.get(i, 0), _edit_similarity(squashed, name))
-        words = text.split()
-        for i, name in self.tokens:
-            if (s := _token_set(words, name)) > best.get(i, 0):
-                best[i] = s
+                most = max(len(squashed), len(name))
+                if len(name) >= 4 and 1 - gap[k] / most >= top:
+                    s = _edit_similarity(squashed, name, top)
+                    best[i] = max(best.get(i, 0), s)
+                    top = max(top, s)
+        if top < 0.85:
+            words = text.split()
+            for i, name in self.tokens:
+                if (s := _token_set(words, name)) > best.get(i, 0):
+                    best[i] = s
         if not best:
             return 0.0, -1
         top = max(best.values())
@@ -190,25 +198,43 @@ def _forms(value: str) -> Iterator[str]:
         yield " ".join([*words[:-1], words[-1] + "s"]) if words else ""
 
 
-def _edit_similarity(a: str, b: str) -> float:
-    """1 - distance / length of the longer, with insert, delete, replace and swap of neighbours at 1."""
+def _edit_similarity(a: str, b: str, least: float = 0.6) -> float:
+    """1 - distance / length of the longer, with insert, delete, replace and swap of neighbours at 1; 0 if below ``least``."""
     if a == b:
         return 1.0
     m, n = len(a), len(b)
     most = max(m, n)
+    allowed = int((1 - max(least, 0.6)) * most + 1e-9)
+    if abs(m - n) > allowed:
+        return 0.0
     before, row = None, list(range(n + 1))
     for i in range(1, m + 1):
-        last, row2 = row, [i] + [0] * n
-        for j in range(1, n + 1):
-            cost = a[i - 1] != b[j - 1]
-            d = min(last[j] + 1, row2[j - 1] + 1, last[j - 1] + cost)
-            if before and i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+        last, row = row, [i] + [most] * n
+        for j in range(max(1, i - allowed), min(n, i + allowed) + 1):  # outside the band the distance is too large
+            d = last[j - 1] + (a[i - 1] != b[j - 1])
+            if last[j] < d:
+                d = last[j] + 1
+            if row[j - 1] < d:
+                d = min(d, row[j - 1] + 1)
+            if before and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
                 d = min(d, before[j - 2] + 1)
-            row2[j] = d
-        before, row = last, row2
-        if min(row) > 0.4 * most:
+            row[j] = d
+        before = last
+        if min(row) > allowed:
             return 0.0
-    return 1 - row[n] / most
+    return 1 - row[n] / most if row[n] <= allowed else 0.0
+
+
+@lru_cache(maxsize=100_000)
+def _token_similarity(w: str, x: str) -> float:
+    """Of two tokens: equal, an abbreviation, or a typing error apart."""
+    if w == x:
+        return 1.0
+    if len(w) >= 3 and len(x) > len(w) and x.startswith(w):
+        return 0.85
+    if abs(len(w) - len(x)) <= 2 and min(len(w), len(x)) >= 4:
+        return _edit_similarity(w, x, 0.75)
+    return 0.0
 
 
 def _token_set(words: Sequence[str], name: Sequence[str]) -> float:
@@ -220,15 +246,7 @@ def _token_set(words: Sequence[str], name: Sequence[str]) -> float:
     for w in dict.fromkeys(words):
         best, at = 0.0, None
         for x in left:
-            if w == x:
-                s = 1.0
-            elif len(w) >= 3 and len(x) > len(w) and x.startswith(w):
-                s = 0.85
-            elif abs(len(w) - len(x)) <= 2 and min(len(w), len(x)) >= 4:
-                s = _edit_similarity(w, x)
-                s = s if s >= 0.75 else 0.0
-            else:
-                s = 0.0
+            s = _token_similarity(w, x)
             if s > best:
                 best, at = s, x
         if at is not None:
@@ -273,7 +291,8 @@ def map_values(df: DataFrame, id_col: str, columns: Sequence[str], reference: Da
     open_ = written(typed.join(F.broadcast(exact), ["attr", "term"], "left_anti"))
     # Matching costs far more than a row's bytes suggest, so distinct terms are spread over all cores.
     tasks = max(2 * df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    distinct = open_.select("attr", "term").distinct().repartition(tasks, "attr", "term")
+    # Partitioned by a hash of the key: by the key itself Spark would reuse and coalesce the shuffle of distinct().
+    distinct = open_.select("attr", "term").distinct().repartition(tasks, F.xxhash64("attr", "term"))
     matched = distinct.mapInPandas(match, "attr string, term string, ref_id bigint, found_by string")
     counts = open_.groupBy("attr", "term").agg(F.count(F.lit(1)).alias("_n"))
     return join_unique(open_, matched, ["attr", "term"], counts).select(id_col, "attr", "term", "ref_id", "found_by")
