@@ -107,7 +107,6 @@ def consensus(votes: DataFrame, extra: DataFrame | None = None, max_rounds: int
         votes = votes.unionByName(extra.withColumn("vote", F.lit(False)))
     votes = votes.groupBy("item", "annotator", "attr").agg(F.min("option").alias("option"), F.max("vote").alias("vote"))
     packed = written(pack(votes))
-    spark = packed.sparkSession
     edges = packed.select("attr", F.explode(F.arrays_zip("who", "what")).alias("v")).select("attr", F.col("v.who").alias("annotator"), F.col("v.what").alias("option"))
     counts = edges.groupBy("attr", "annotator", "option").count()
     classes = {attr: sorted(own) for attr, own in _grouped(edges.select("attr", "option").distinct().collect()).items()}
@@ -140,8 +139,9 @@ def consensus(votes: DataFrame, extra: DataFrame | None = None, max_rounds: int
 
     option_kind, item_kind, name_kind = edges.schema["option"].dataType.simpleString(), packed.schema["item"].dataType.simpleString(), names.schema["annotator"].dataType.simpleString()
     items = packed.mapInPandas(_decide(state, classes, at), f"attr string, item {item_kind}, option {option_kind}, confidence double, agreement double, annotators int, options int")
-    rows = [(attr, a, int(named[attr][i].sum()), float(state[attr].accuracy[i])) for attr in classes for i, a in enumerate(at) if named[attr][i].sum()]
-    return items, spark.createDataFrame(rows, f"attr string, annotator {name_kind}, labels bigint, reliability double")
+    judged = packed.mapInPandas(_judge(state, classes, at), f"attr string, annotator {name_kind}, labels bigint, right double")
+    total = judged.groupBy("attr", "annotator").agg(F.sum("labels").alias("labels"), F.sum("right").alias("right"))
+    return items, total.select("attr", "annotator", "labels", ((F.col("right") + 1) / (F.col("labels") + 2)).alias("reliability"))
 
 
 def _grouped(rows) -> dict:
@@ -204,6 +204,24 @@ def _partial_sums(state: dict, classes: dict, at: pd.Index):
     return run
 
 
+def _judge(state: dict, classes: dict, at: pd.Index):
+    """Labels and believed right labels of each annotator, one row per task; beliefs count all messages here."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict = {}
+        for b in batches:
+            for attr, part in b.groupby("attr", sort=False):
+                item_at, who, what, belief, _ = _believed(part, classes[attr], at, state[attr])
+                labels, right = total.setdefault(attr, (np.zeros(len(at)), np.zeros(len(at))))
+                np.add.at(labels, who, 1.0)
+                np.add.at(right, who, belief[item_at, what])
+        for attr, (labels, right) in total.items():
+            some = np.flatnonzero(labels)
+            yield pd.DataFrame({"attr": attr, "annotator": at[some].to_numpy(), "labels": labels[some].astype(np.int64), "right": right[some]})
+
+    return run
+
+
 def _decide(state: dict, classes: dict, at: pd.Index):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

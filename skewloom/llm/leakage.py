@@ -121,14 +121,15 @@ def document_frequencies(index: DataFrame, of: set[str]) -> dict[str, int]:
     return {r[0]: r[1] for r in total.collect() if r[0] in of}
 
 
-def anchors(passage: list[str], n: int, df: dict[str, int]) -> list[int]:
-    """Positions of rare terms such that every run of ``n`` terms holds one; none if a term of every run is nowhere."""
+def anchors(passage: list[str], n: int, df: dict[str, int], each: int = 1) -> list[int]:
+    """Positions of the rarest terms such that every run of ``n`` terms holds ``each`` of them."""
     rarity = [df.get(t, 0) for t in passage]
     out: list[int] = []
     for s in range(len(passage) - n + 1):
-        if not out or out[-1] < s:
-            out.append(min(range(s, s + n), key=lambda k: (rarity[k], -k)))
-    return out
+        inside = [p for p in out if p >= s]
+        free = sorted((p for p in range(s, s + n) if p not in inside), key=lambda p: (rarity[p], -p))
+        out += free[: max(0, each - len(inside))]
+    return sorted(out)
 
 
 def search(index: DataFrame, passages: list[tuple], n: int, item_kind: str = "bigint", slack: int = 3, near_share: float = 0.9) -> DataFrame:
@@ -136,11 +137,12 @@ def search(index: DataFrame, passages: list[tuple], n: int, item_kind: str = "bi
 
     ``match`` is 'exact' where ``words`` >= ``n`` consecutive words of the passage stand in the text
     at word ``start``, and else 'proximity' where of some ``n`` consecutive words of the passage at
-    least ``near_share`` stand within ``slack`` places of where they belong. The best match of a pair is given.
+    least ``near_share``, among them one of the two rarest, stand within ``slack`` places of where they
+    belong. The best match of a pair is given.
     """
     tokens = [(item, words(text)) for item, text in passages]
     df = document_frequencies(index, {t for _, p in tokens for t in p})
-    wanted = [(item, p, anchors(p, n, df)) for item, p in tokens if len(p) >= n]
+    wanted = [(item, p, anchors(p, n, df, each=2)) for item, p in tokens if len(p) >= n]
     doc_kind = index.schema["docs"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

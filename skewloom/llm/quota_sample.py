@@ -108,7 +108,7 @@ def quota_sample(rows: DataFrame, targets: DataFrame, attributes: list[str], see
     def fit(key: tuple, cell: pd.DataFrame, target: pd.DataFrame) -> pd.DataFrame:
         cell = cell.sort_values("label", ignore_index=True)
         if not len(cell) or not len(target):
-            return pd.DataFrame({"stratum": [], "label": [], "quota": []})
+            return cell[["stratum", "label"]].head(0).astype({"label": object}).assign(quota=np.zeros(0, dtype=np.int64))
         quota = cell_quotas([x.split("\x1f") for x in cell["label"]], cell["have"].to_numpy(), target, attributes, sweeps)
         return pd.DataFrame({"stratum": key[0], "label": cell["label"], "quota": quota})
 
