@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bound
 from .labels import SPACE
 
 #: Patterns of the features, in a form that Java and RE2 share.
@@ -25,12 +26,16 @@ def tokens(text: Column) -> Column:
 
 def moving_ttr(words: Column, window: int = 50, step: int = 5) -> Column:
     """Mean type-token ratio of sliding windows over lower-case words; of the whole text if it is shorter; null without words."""
-    low = F.transform(words, F.lower)
-    n = F.size(low)
-    begins = F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)), F.lit(step))
-    ratios = F.transform(begins, lambda i: F.size(F.array_distinct(F.slice(low, i + 1, window))) / float(window))
-    mean = F.aggregate(ratios, F.lit(0.0), lambda s, x: s + x) / F.size(ratios)
-    return F.when(n == 0, None).when(n < window, F.size(F.array_distinct(low)) / n).otherwise(mean)
+
+
+    def of(low: Column) -> Column:
+        n = F.size(low)
+        begins = F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)), F.lit(step))
+        ratios = F.transform(begins, lambda i: F.size(F.array_distinct(F.slice(low, i + 1, window))) / float(window))
+        mean = bound(ratios, lambda r: F.aggregate(r, F.lit(0.0), lambda s, x: s + x) / F.size(r))
+        return F.when(n == 0, None).when(n < window, F.size(F.array_distinct(low)) / n).otherwise(mean)
+
+    return bound(F.transform(words, F.lower), of)
 
 
 def features(text: Column) -> dict[str, Column]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bound
+
 
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
@@ -24,19 +26,14 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def _bound(value: Column, use) -> Column:
-    """``use`` of a value that is computed once: inside a lambda an expression would be repeated for every entry."""
-    return F.transform(F.array(value), use)[0]
-
-
 def unit(a: Column) -> Column:
     """To length 1; the zero vector stays."""
-    return _bound(norm(a), lambda n: F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a))
+    return bound(norm(a), lambda n: F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a))
 
 
 def layer_norm(a: Column, eps: float = 1e-5) -> Column:
     """Mean 0 and (population) variance 1 over the entries."""
     size = F.size(a)
     mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / size
-    centred = _bound(mean, lambda m: F.transform(a, lambda x: x - m))
-    return _bound(centred, lambda c: _bound(F.sqrt(dot(c, c) / size + eps), lambda d: F.transform(c, lambda x: x / d)))
+    centred = bound(mean, lambda m: F.transform(a, lambda x: x - m))
+    return bound(centred, lambda c: bound(F.sqrt(dot(c, c) / size + eps), lambda d: F.transform(c, lambda x: x / d)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,11 @@ def bin_of(x: Column, edges: Column) -> Column:
     return F.size(F.filter(edges, lambda e: e <= x))
 
 
+def bin_among(x: Column, edges: Sequence[float]) -> Column:
+    """``bin_of`` for edges known when the plan is made, as compiled comparisons."""
+    return reduce(lambda a, b: a + b, ((x >= F.lit(e)).cast("int") for e in edges), F.lit(0))
+
+
 def length_weights(q: DataFrame, p: DataFrame, bin_: str) -> DataFrame:
     """Adds ``weight`` to the rows of ``q`` so that its bins weigh as those of ``p``, and ``covered``, the share of ``p`` in bins of q."""
     share = lambda d, n: d.groupBy(bin_).agg(F.count(F.lit(1)).alias("_c")).withColumn(n, F.col("_c") / F.sum("_c").over(Window.partitionBy())).drop("_c")

@@ -43,8 +43,9 @@ def _grid(queries: DataFrame, refs: DataFrame, k: int, by: str | None, blocks: i
     """Every block of queries against every block of references, one bounded task each."""
     own = max(1, -(-queries.count() // BLOCK_ROWS))
     cell = lambda d, n: d.withColumn("_q" if d is queries else "_r", F.pmod(F.xxhash64("id"), F.lit(n)))
-    asked = cell(queries, own).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint"))
-    known = cell(refs, blocks).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(own - 1))).cast("bigint"))
+    upto = lambda n: F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+    asked = cell(queries, own).withColumn("_r", F.explode(upto(blocks)))
+    known = cell(refs, blocks).withColumn("_q", F.explode(upto(own)))
 
     def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         out = list(_search(r, k, by)(iter([q]))) if len(q) and len(r) else []

@@ -112,6 +112,6 @@ def divergence_score(p: DataFrame, q: DataFrame, clusters: int = 16, scale: floa
     for lam in np.linspace(1e-6, 1 - 1e-6, points):
         mix = lam * h[0] + (1 - lam) * h[1]
         curve.append((np.exp(-scale * kl(h[1], mix)), np.exp(-scale * kl(h[0], mix))))
-    curve.sort()
+    curve.sort(key=lambda c: (c[0], -c[1]))
     x, y = np.array(curve).T
     return float(((x[1:] - x[:-1]) * (y[1:] + y[:-1]) / 2).sum())

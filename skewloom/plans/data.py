@@ -128,7 +128,7 @@ RUNLOG_SQL = f"""logs AS (SELECT regexp_extract(log_path, '{_RE}', 1) AS annotat
     (CASE WHEN regexp_extract(log_path, '{_RE}', 3) = '' THEN '0' ELSE regexp_extract(log_path, '{_RE}', 3) END)::INTEGER AS seed, round, moved, shortfall, logged_at, log_path,
     {', '.join(f'CASE WHEN isnan({m}) THEN NULL ELSE {m} END AS {m}' for m in METRICS)}
     FROM run_log WHERE regexp_matches(log_path, '{_RE}')
-    QUALIFY row_number() OVER (PARTITION BY annotator, lam, seed, round ORDER BY logged_at DESC) = 1)"""
+    QUALIFY row_number() OVER (PARTITION BY annotator, lam, seed, round ORDER BY logged_at DESC NULLS LAST, log_path DESC, {', '.join(f'{m} DESC NULLS LAST' for m in METRICS)}, moved DESC NULLS LAST, shortfall DESC NULLS LAST) = 1)"""
 
 
 def t_table_sql() -> str:

@@ -18,7 +18,7 @@ RUN = ["annotator", "lam", "seed"]
 _M = data.METRICS
 _LAST = "last AS (SELECT * FROM logs QUALIFY row_number() OVER (PARTITION BY annotator, lam, seed ORDER BY round DESC) = 1)"
 _SEEDS = [_LAST, f"seeds AS (SELECT annotator, lam, seed % 4 AS seed, {', '.join(f'avg({m}) AS {m}' for m in _M)} FROM last GROUP BY ALL)"]
-_UNPIVOT = "({})".format(" UNION ALL ".join(f"SELECT *, '{m}' AS metric, {m} AS value FROM {{src}} WHERE {m} IS NOT NULL" for m in _M))
+_UNPIVOT = "({})".format(" UNION ALL ".join(f"SELECT *, '{m}' AS metric, {m} AS value FROM {{src}} WHERE coalesce(NOT isnan({m}), false)" for m in _M))
 
 
 def _seeds(spark, sf_dir):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.histograms import bin_of, decile_edges, length_weights
+from ..operators.histograms import bin_among, decile_edges, length_weights
 from ..functions.labels import length_bin, word_count
 from . import data
 from .catalog import query
@@ -53,11 +55,13 @@ _Q = "[" + ", ".join(f"{k / 10}" for k in range(1, 10)) + "]"
 e AS (SELECT feature, list_sort(list_distinct(quantile_cont(x::DOUBLE, {_Q}::DOUBLE[]))) AS edges FROM x GROUP BY feature) SELECT feature, len(list_filter(edges, lambda e: e <= x))::INTEGER AS bin, count(*) AS n FROM x JOIN e USING (feature) GROUP BY ALL""")
 def decile_hist(spark, sf_dir):
     """Histograms on distinct deciles of three measures."""
-    o = data.table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("orders"))
-    l = data.table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("lines"), F.col("l_quantity").alias("quantity"))  # noqa: E741
-    long = o.select(F.lit("orders").alias("feature"), F.col("orders").alias("x")).unionByName(l.select(F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in ("lines", "quantity"))))))
-    edges = decile_edges(o, ["orders"]).unionByName(decile_edges(l, ["lines", "quantity"]))
-    return long.join(F.broadcast(edges), "feature").groupBy("feature", bin_of(F.col("x"), F.col("edges")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))  # a row per feature
+    counts = []
+    for name, columns in (("orders", {"orders": "o_totalprice"}), ("lineitem", {"lines": "l_extendedprice", "quantity": "l_quantity"})):
+        d = data.table(spark, sf_dir, name).select(*(F.col(c).alias(f) for f, c in columns.items()))
+        edges = dict(decile_edges(d, list(columns)).collect())  # nine numbers per feature
+        for f in columns:
+            counts.append(d.where(F.col(f).isNotNull()).groupBy(bin_among(F.col(f), edges.get(f, [])).alias("bin")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(f).alias("feature"), "bin", "n"))
+    return reduce(lambda a, b: a.unionByName(b), counts)
 
 
 @query(data.ctes(data.PRIVATE_SQL, data.POOL_SQL, f"q AS (SELECT row_id, {_BIN.format(_WORDS)} AS bin FROM pool1)", f"p AS (SELECT {_BIN.format(_WORDS)} AS bin FROM private)") + """, b AS (SELECT bin, p, p / q AS weight, sum(p) OVER () AS covered FROM (SELECT bin, count(*)::DOUBLE / sum(count(*)) OVER () AS p FROM p GROUP BY 1) JOIN (SELECT bin, count(*)::DOUBLE / sum(count(*)) OVER () AS q FROM q GROUP BY 1) USING (bin))

@@ -22,13 +22,13 @@ def through_cache(df: DataFrame, path: str, compute: Callable[[DataFrame], DataF
     """``df`` with the columns that ``compute`` adds to (key, text), computed once per distinct text, model and cache.
 
     The cache is a Parquet table of (key, model, results); new results are appended before they are
-    joined back, so an interrupted run keeps what it finished.
+    joined back, so an interrupted run keeps what it finished. Null texts get null results.
     """
     spark = df.sparkSession
     keyed = df.withColumn("_key", text_key(text))
     have = _read(spark, path)
     own = None if have is None else have.where(F.col("model") == model)
-    todo = missing(keyed.select("_key", text), own, ["_key"])
+    todo = missing(keyed.where(F.col(text).isNotNull()).select("_key", text), own, ["_key"])
     if not todo.isEmpty():
         compute(todo).drop(text).withColumn("model", F.lit(model)).write.mode("append").parquet(path)
     results = spark.read.parquet(path).where(F.col("model") == model).drop("model").dropDuplicates(["_key"])
