@@ -28,13 +28,16 @@ def blank(c: Column) -> Column:
     return ~F.coalesce(c.rlike(r"[^\s\p{Z}\x{85}\x{1c}-\x{1f}]"), F.lit(False))
 
 
-def join_unique(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame, hot_rows: int = 100_000) -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame, hot_rows: int | None = 100_000) -> DataFrame:
     """Inner join of ``left`` with ``right``, which has one row per key, without a hot key in one task.
 
     ``counts`` has the keys and the number ``_n`` of their rows in ``left``. Keys above ``hot_rows``
     are joined by broadcast, the others by shuffle. A table of n rows has at most n / hot_rows such
-    keys, and the limit grows with n so that they never exceed ``MAX_HOT_KEYS``.
+    keys, and the limit grows with n so that they never exceed ``MAX_HOT_KEYS``. None: the caller
+    knows that the table is too small for a hot key.
     """
+    if hot_rows is None:
+        return left.join(right, keys)
     hot = counts.where(F.col("_n") > hot_rows).select(*keys).limit(MAX_HOT_KEYS + 1).collect()
     if len(hot) > MAX_HOT_KEYS:
         return join_unique(left, right, keys, counts, hot_rows * 10)
@@ -46,7 +49,7 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], counts: Data
     return left.join(few, keys).unionByName(rest)
 
 
-def with_group_min(df: DataFrame, keys: list[str], value: str, out: str, least: int = 1, hot_rows: int = 100_000) -> DataFrame:
+def with_group_min(df: DataFrame, keys: list[str], value: str, out: str, least: int = 1, hot_rows: int | None = 100_000) -> DataFrame:
     """Adds the smallest ``value`` of each key group to its rows; groups under ``least`` rows drop out.
 
     The minimum is combined before the shuffle, and hot keys take the other way of ``join_unique``.

@@ -54,7 +54,7 @@ def components(edges: DataFrame, max_rounds: int = 60, hot_rows: int = 100_000)
     now = written(both.union(both.select("v", "v")).distinct())
     mark = _fingerprint(now)
     for _ in range(max_rounds):
-        sent = with_group_min(now, ["v"], "u", "m", hot_rows=hot_rows).select(
+        sent = with_group_min(now, ["v"], "u", "m", hot_rows=hot_rows if mark[0] > hot_rows else None).select(
             F.inline(F.array(F.struct(F.col("m").alias("v"), F.col("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u"))))
         )
         new = written(sent.distinct())
