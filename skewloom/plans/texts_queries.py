@@ -58,9 +58,9 @@ def decile_hist(spark, sf_dir):
     counts = []
     for name, columns in (("orders", {"orders": "o_totalprice"}), ("lineitem", {"lines": "l_extendedprice", "quantity": "l_quantity"})):
         d = data.table(spark, sf_dir, name).select(*(F.col(c).alias(f) for f, c in columns.items()))
-        edges = dict(decile_edges(d, list(columns)).collect())  # nine numbers per feature
+        edges = decile_edges(d, list(columns))
         for f in columns:
-            counts.append(d.where(F.col(f).isNotNull()).groupBy(bin_among(F.col(f), edges.get(f, [])).alias("bin")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(f).alias("feature"), "bin", "n"))
+            counts.append(d.where(F.col(f).isNotNull()).groupBy(bin_among(F.col(f), edges[f]).alias("bin")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(f).alias("feature"), "bin", "n"))
     return reduce(lambda a, b: a.unionByName(b), counts)
 
 

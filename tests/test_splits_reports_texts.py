@@ -11,7 +11,7 @@ from skewloom.functions.distributions import incomplete_beta, spearman_p, t_quan
 from skewloom.functions.hashrng import normal, uniform
 from skewloom.functions.labels import clean_labels, clean_value, group_key, has_text, labels_from_map, length_bin, word_count
 from skewloom.functions.text import features
-from skewloom.operators.histograms import bin_of, length_weights, nearest_bin
+from skewloom.operators.histograms import bin_among, bin_of, exact_quantiles, length_weights, nearest_bin
 from skewloom.operators.rankstats import average_rank, bootstrap_interval, fisher_difference, permutation_p, spearman, with_t_interval
 from skewloom.operators.report import change_first_last, paired_differences, replicate_baseline
 from skewloom.operators.splits import copies_and_remainder, group_split, half_split, length_matched, one_per_group
@@ -59,6 +59,18 @@ def test_length_matching(spark):
     assert all(r["w"] / total == pytest.approx(want[r["bin"]]) for r in w)
 
 
+def test_exact_quantiles(spark):
+    draw = np.random.default_rng(5)
+    x, y = draw.normal(size=999), draw.integers(0, 5, 999).astype(float)
+    y[:3] = [1e9, np.nan, -1e9]
+    df = spark.createDataFrame([(float(a), float(b), 7.0, None) for a, b in zip(x, y)] + [(None, None, None, None)], "x double, y double, z double, w double")
+    got = exact_quantiles(df, ["x", "y", "z", "w"], [0.0, 0.1, 0.5, 0.93, 1.0])
+    assert np.allclose(got["x"], np.quantile(x, [0, 0.1, 0.5, 0.93, 1])) and np.allclose(got["y"], np.quantile(y[~np.isnan(y)], [0, 0.1, 0.5, 0.93, 1]))
+    assert got["z"] == [7.0] * 5 and got["w"] == []
+    assert df.limit(0).count() == 0 and exact_quantiles(df.limit(0), ["x"], [0.5]) == {"x": []}
+    assert df.where("x is not null").select(bin_among(F.col("z"), [1.0, 7.0, 9.0]).alias("b")).first()["b"] == 2
+
+
 def test_shards_and_nearest_bin(spark):
     d = spark.createDataFrame([(i,) for i in range(10)], "i bigint")
     got = [r["i"] for r in shards(d, "i", 4).orderBy("merged").collect()]
