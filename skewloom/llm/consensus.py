@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import forget, written
 from .common import plain
 
 #: Rates that may be held by every task: annotators times classes.
@@ -112,7 +112,7 @@ def consensus(votes: DataFrame, extra: DataFrame | None = None, max_rounds: int
     classes = {attr: sorted(own) for attr, own in _grouped(edges.select("attr", "option").distinct().collect()).items()}
     names = edges.select("annotator").distinct()
     if names.count() * max(1, sum(map(len, classes.values()))) > MAX_RATES:
-        raise ValueError("the rates do not fit every task; split the annotators or raise MAX_RATES")
+        return _consensus_by_join(packed, counts, classes, max_rounds, tolerance)
     at = pd.Index(sorted(r[0] for r in names.collect()))
     named = {attr: np.zeros((len(at), len(own))) for attr, own in classes.items()}
     for r in counts.collect():
@@ -144,6 +144,105 @@ def consensus(votes: DataFrame, extra: DataFrame | None = None, max_rounds: int
     return items, total.select("attr", "annotator", "labels", ((F.col("right") + 1) / (F.col("labels") + 2)).alias("reliability"))
 
 
+def _consensus_by_join(packed: DataFrame, counts: DataFrame, classes: dict, max_rounds: int, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """The same rounds for any number of annotators: their rates are a table, written each round and joined to the edges."""
+    kinds = {c: packed.schema[c].dataType.elementType.simpleString() for c in ("who", "what")}
+    item_kind = packed.schema["item"].dataType.simpleString()
+    place = packed.sparkSession.createDataFrame([(a, o, k) for a, own in classes.items() for k, o in enumerate(own)], f"attr string, option {kinds['what']}, pos int")
+    named = counts.join(F.broadcast(place), ["attr", "option"]).select("attr", "annotator", "pos", F.col("count").alias("named"))  # a row per class
+    rates, prior, before = None, {}, None
+    for _ in range(max_rounds):
+        fed = _fed(packed, rates)
+        sums = written(fed.mapInPandas(_edge_sums(classes, prior), f"attr string, annotator {kinds['who']}, right array<double>, belief array<double>, prior array<double>"))
+        cell = sums.select("attr", "annotator", F.posexplode(F.arrays_zip("right", "belief", "prior")).alias("pos", "x"))
+        total = cell.groupBy("attr", "annotator", "pos").agg(F.sum("x.right").alias("right"), F.sum("x.belief").alias("belief"), F.sum("x.prior").alias("prior"))
+        found: dict = {}
+        for r in total.where("annotator is null").collect():  # a number per class
+            found.setdefault(r["attr"], np.zeros(len(classes[r["attr"]])))[r["pos"]] = r["prior"]
+        prior = {a: np.clip(p / max(p.sum(), 1e-9), 1e-6, 1 - 1e-6) for a, p in found.items()}
+        new = written(_rate_table(total.where("annotator is not null").drop("prior"), named))
+        moved = 1.0 if rates is None else new.join(rates.select("attr", "annotator", F.col("accuracy").alias("_a")), ["attr", "annotator"]).agg(F.max(F.abs(F.col("accuracy") - F.col("_a")))).first()[0]
+        forget(sums)
+        forget(before)
+        before, rates = rates, new
+        if moved < tolerance:
+            break
+    fed = _fed(packed, rates)
+    items = fed.mapInPandas(_edge_items(classes, prior), f"attr string, item {item_kind}, option {kinds['what']}, confidence double, agreement double, annotators int, options int")
+    judged = fed.mapInPandas(_edge_judge(classes, prior), f"attr string, annotator {kinds['who']}, right double").groupBy("attr", "annotator")
+    total = judged.agg(F.count(F.lit(1)).alias("labels"), F.sum("right").alias("right"))
+    return items, total.select("attr", "annotator", "labels", ((F.col("right") + 1) / (F.col("labels") + 2)).alias("reliability"))
+
+
+def _fed(packed: DataFrame, rates: DataFrame | None) -> DataFrame:
+    """Packed rows with the log-likelihood ratios of each edge's annotator."""
+    if rates is None:
+        return packed.select("*", F.lit(None).cast("array<array<double>>").alias("says"), F.lit(None).cast("array<array<double>>").alias("silent"))
+    edges = packed.select("attr", "item", F.explode(F.arrays_zip("who", "what", "vote")).alias("e")).select("attr", "item", F.col("e.who").alias("annotator"), "e.what", "e.vote")
+    rated = edges.join(rates.select("attr", "annotator", "says", "silent"), ["attr", "annotator"])
+    back = rated.groupBy("attr", "item").agg(F.sort_array(F.collect_list(F.struct("annotator", "what", "vote", "says", "silent"))).alias("e"))
+    return back.select("attr", "item", F.col("e.annotator").alias("who"), *(F.col(f"e.{c}").alias(c) for c in ("what", "vote", "says", "silent")))
+
+
+def _rate_table(total: DataFrame, named: DataFrame) -> DataFrame:
+    """(attr, annotator, accuracy, says, silent) by the formulas of ``Rates``."""
+    own = Window.partitionBy("attr", "annotator")
+    d = total.join(named, ["attr", "annotator", "pos"], "left").fillna(0, ["named"])
+    d = d.withColumn("labels", F.sum("named").over(own)).withColumn("acc", (F.sum("right").over(own) + 1) / (F.col("labels") + 2))
+    hit = (F.col("right") + PRIOR_LABELS * F.col("acc")) / (F.col("belief") + PRIOR_LABELS)
+    some = F.greatest("named", F.lit(0.5)) / F.greatest("labels", F.lit(1))
+    false = (F.col("named") - F.col("right") + PRIOR_LABELS * (1 - F.col("acc")) * some) / (F.greatest(F.col("labels") - F.col("belief"), F.lit(0.0)) + PRIOR_LABELS)
+    clip = lambda c, a: F.least(F.greatest(c, F.lit(a)), F.lit(1 - 1e-3))
+    d = d.withColumn("h", clip(hit, 1e-3)).withColumn("f", clip(false, 1e-4))
+    each = F.sort_array(F.collect_list(F.struct("pos", F.log(F.col("h") / F.col("f")).alias("says"), F.log((1 - F.col("h")) / (1 - F.col("f"))).alias("silent"))))
+    out = d.groupBy("attr", "annotator").agg(F.first("acc").alias("accuracy"), each.alias("v"))
+    return out.select("attr", "annotator", "accuracy", F.col("v.says").alias("says"), F.col("v.silent").alias("silent"))
+
+
+def _edge_parts(batches: Iterator[pd.DataFrame], classes: dict, prior: dict):
+    for b in batches:
+        for attr, part in b.groupby("attr", sort=False):
+            own = classes[attr]
+            what = np.searchsorted(own, np.concatenate(part["what"].to_numpy()))
+            who = np.concatenate(part["who"].to_numpy())
+            item_at = np.repeat(np.arange(len(part)), part["who"].map(len).to_numpy())
+            if part["says"].iloc[0] is None:
+                belief, message = _vote_shares(item_at, what, len(part), len(own))
+            else:
+                says, silent = (np.array([x for row in part[c] for x in row], dtype=float) for c in ("says", "silent"))
+                belief, message = beliefs(what, item_at, len(part), says, silent, prior[attr])
+            yield attr, part, item_at, who, what, belief, message
+
+
+def _edge_sums(classes: dict, prior: dict):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for attr, _, _, who, what, belief, message in _edge_parts(batches, classes, prior):
+            names, at = np.unique(who.astype(object), return_inverse=True)
+            right, seen = np.zeros((len(names), belief.shape[1])), np.zeros((len(names), belief.shape[1]))
+            np.add.at(right, (at, what), message[np.arange(len(what)), what])
+            np.add.at(seen, at, message)
+            none = [0.0] * belief.shape[1]
+            yield pd.DataFrame({"attr": attr, "annotator": [None, *names], "right": [none, *right.tolist()], "belief": [none, *seen.tolist()], "prior": [belief.sum(axis=0).tolist(), *[none] * len(names)]})
+
+    return run
+
+
+def _edge_items(classes: dict, prior: dict):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for attr, part, item_at, _, what, belief, _ in _edge_parts(batches, classes, prior):
+            yield _decided(attr, part, np.array(classes[attr]), item_at, what, belief)
+
+    return run
+
+
+def _edge_judge(classes: dict, prior: dict):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for attr, _, item_at, who, what, belief, _ in _edge_parts(batches, classes, prior):
+            yield pd.DataFrame({"attr": attr, "annotator": who, "right": belief[item_at, what]})
+
+    return run
+
+
 def _grouped(rows) -> dict:
     out: dict = {}
     for attr, option in rows:
@@ -170,16 +269,33 @@ def _edges(part: pd.DataFrame, own: list, at: pd.Index) -> tuple[np.ndarray, np.
     return np.repeat(np.arange(len(part)), part["who"].map(len).to_numpy()), who, what
 
 
+def _vote_shares(item_at: np.ndarray, what: np.ndarray, items: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first round: shares of the votes, and for the messages without the annotator's own vote where there are others."""
+    tally = np.zeros((items, classes))
+    np.add.at(tally, (item_at, what), 1.0)
+    rest = tally[item_at]
+    rest[np.arange(len(what)), what] -= 1.0
+    alone = rest.sum(axis=1) == 0
+    rest[alone] = tally[item_at][alone]
+    return tally / tally.sum(axis=1, keepdims=True), rest / rest.sum(axis=1, keepdims=True)
+
+
+def _decided(attr, part: pd.DataFrame, own: np.ndarray, item_at: np.ndarray, what: np.ndarray, belief: np.ndarray) -> pd.DataFrame:
+    """The result rows of one attribute's items."""
+    best = belief.argmax(axis=1)
+    tally = np.zeros(belief.shape)
+    np.add.at(tally, (item_at, what), np.concatenate(part["vote"].to_numpy()).astype(float))
+    row = np.arange(len(part))
+    return pd.DataFrame({
+        "attr": attr, "item": part["item"].to_numpy(), "option": own[best], "confidence": belief[row, best],
+        "agreement": tally[row, best] / tally.sum(axis=1), "annotators": tally.sum(axis=1).astype(np.int32), "options": (tally > 0).sum(axis=1).astype(np.int32),
+    })
+
+
 def _believed(part: pd.DataFrame, own: list, at: pd.Index, rates: Rates | None):
     item_at, who, what = _edges(part, own, at)
-    if rates is None:  # first round: vote shares, without the annotator's own vote where there are others
-        tally = np.zeros((len(part), len(own)))
-        np.add.at(tally, (item_at, what), 1.0)
-        rest = tally[item_at]
-        rest[np.arange(len(what)), what] -= 1.0
-        alone = rest.sum(axis=1) == 0
-        rest[alone] = tally[item_at][alone]
-        return item_at, who, what, tally / tally.sum(axis=1, keepdims=True), rest / rest.sum(axis=1, keepdims=True)
+    if rates is None:
+        return item_at, who, what, *_vote_shares(item_at, what, len(part), len(own))
     return item_at, who, what, *beliefs(what, item_at, len(part), rates.says[who], rates.silent[who], rates.prior)
 
 
@@ -226,15 +342,7 @@ def _decide(state: dict, classes: dict, at: pd.Index):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for attr, part in b.groupby("attr", sort=False):
-                own = np.array(classes[attr])
                 item_at, _, what, belief, _ = _believed(part, classes[attr], at, state[attr])
-                best = belief.argmax(axis=1)
-                tally = np.zeros(belief.shape)
-                np.add.at(tally, (item_at, what), np.concatenate(part["vote"].to_numpy()).astype(float))
-                row = np.arange(len(part))
-                yield pd.DataFrame({
-                    "attr": attr, "item": part["item"].to_numpy(), "option": own[best], "confidence": belief[row, best],
-                    "agreement": tally[row, best] / tally.sum(axis=1), "annotators": tally.sum(axis=1).astype(np.int32), "options": (tally > 0).sum(axis=1).astype(np.int32),
-                })
+                yield _decided(attr, part, np.array(classes[attr]), item_at, what, belief)
 
     return run

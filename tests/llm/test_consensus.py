@@ -1,6 +1,7 @@
 import random
 from datetime import datetime
 
+from skewloom.llm import consensus as module
 from skewloom.llm.consensus import consensus, latest_votes, match_options
 
 CLASSES = [10, 11, 12, 13]
@@ -74,3 +75,15 @@ def test_latest_annotation_replaces_and_options_compare_plainly(spark):
     options = spark.createDataFrame([(7, "area", "Cell Biology"), (8, "area", "Ecology"), (9, "area", None)], "option_id bigint, attr string, option_value string")
     got = match_options(latest_votes(df, "row_id", "annotator", {"map_area": "area"}, ["at", "id"]), options)
     assert sorted((r["item"], r["annotator"], r["option"]) for r in got.collect()) == [(1, "b", 7), (2, "b", 8)]
+
+
+def test_rates_as_a_joined_table_give_the_same(spark, monkeypatch):
+    _, rows = votes_of(150, {"a": 0.9, "b": 0.8, "c": 0.4, "d": "first"})
+    extra = frame(spark, [(i, "own", "attr", 10 + i % 4) for i in range(0, 150, 3)])
+    key = lambda r: (r["attr"], r["item"], r["option"], round(r["confidence"], 6), round(r["agreement"], 6), r["annotators"], r["options"])
+    one = consensus(frame(spark, rows), extra, max_rounds=4)
+    monkeypatch.setattr(module, "MAX_RATES", 1)
+    two = consensus(frame(spark, rows), extra, max_rounds=4)
+    assert sorted(map(key, one[0].collect())) == sorted(map(key, two[0].collect()))
+    rel = [{(r["attr"], r["annotator"]): (r["labels"], round(r["reliability"], 6)) for r in x[1].collect()} for x in (one, two)]
+    assert rel[0] == rel[1]
