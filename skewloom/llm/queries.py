@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import canonical, consensus, leakage, packing, quota_sample, splits, termfreq, truncation, vocabulary
-from .common import plain
 
 ATTRIBUTES = [
     "primary_research_area", "model_organism", "experimental_approach", "dominant_data_type",
