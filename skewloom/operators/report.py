@@ -15,12 +15,12 @@ def family(annotator: Column) -> Column:
     return F.when(annotator.contains("-"), F.regexp_extract(annotator, r"^[^-]*-(.*)$", 1)).otherwise("")
 
 
-def is_baseline(annotator: Column, prefix: str = "maple") -> Column:
+def is_baseline(annotator: Column, prefix: str) -> Column:
     """Whether the annotator is a family's baseline."""
     return annotator.startswith(prefix)
 
 
-def replicate_baseline(df: DataFrame, prefix: str = "maple", lam: str = "lam") -> DataFrame:
+def replicate_baseline(df: DataFrame, prefix: str, lam: str = "lam") -> DataFrame:
     """Rows of a baseline at strength 0 appear under every other annotator of its family; under its own name if it is alone.
 
     Other rows stay, a baseline's rows at other strengths too.

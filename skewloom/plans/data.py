@@ -14,6 +14,8 @@ ATTRIBUTES = [
     "primary_research_area", "model_organism", "experimental_approach", "dominant_data_type",
     "research_focus_scale", "disease_mention", "sample_size", "research_goal",
 ]
+#: Fixed value: how baselines are named in the run log.
+BASELINE = "maple"
 #: Columns of the run log that are distances or scores.
 METRICS = ["mauve", "jsd_mean", "jsd_blind_mean", "jsd_other_mean", "jsd_word_count"]
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.labels import to_long
 from ..operators.agreement import chance_agreement, confusion, corrected_marginal, jensen_shannon, macro_f1, mutual_information
 from ..operators.raking import marginals
 from ..operators.report import metric_means

@@ -53,14 +53,14 @@ repl AS (SELECT annotator, lam, seed, round, jsd_mean FROM f WHERE NOT (is_base
 @query(data.ctes(data.RUNLOG_SQL, _REPL) + "SELECT annotator, lam, seed, round, jsd_mean FROM repl")
 def baseline_replicated(spark, sf_dir):
     """A family's baseline at strength 0 under every annotator of the family."""
-    return replicate_baseline(data.run_log(spark, sf_dir).select(*RUN, "round", "jsd_mean"))
+    return replicate_baseline(data.run_log(spark, sf_dir).select(*RUN, "round", "jsd_mean"), data.BASELINE)
 
 
 @query("SELECT DISTINCT annotator, fam AS family, starts_with(annotator, 'maple') AS baseline FROM (SELECT regexp_extract(log_path, '([^/]+)/lam', 1) AS annotator FROM run_log WHERE regexp_matches(log_path, '([^/]+)/lam([0-9.]+)(?:_seed([0-9]+))?/[^/]+$')), LATERAL (SELECT CASE WHEN contains(annotator, '-') THEN regexp_extract(annotator, '^[^-]*-(.*)$', 1) ELSE '' END AS fam)")
 def annotator_families(spark, sf_dir):
     """Family of every annotator, and whether it is a baseline."""
     d = path_fields(data.table(spark, sf_dir, "run_log"), "log_path").select("annotator").distinct()
-    return d.select("annotator", family(F.col("annotator")).alias("family"), is_baseline(F.col("annotator")).alias("baseline"))
+    return d.select("annotator", family(F.col("annotator")).alias("family"), is_baseline(F.col("annotator"), data.BASELINE).alias("baseline"))
 
 
 def _agg_sql(source: str, by: str) -> str:
@@ -85,7 +85,7 @@ d AS (SELECT r.annotator, r.lam, r.jsd_mean - a.jsd_mean AS jsd_mean, r.mauve -
 def paired_family(spark, sf_dir):
     """Differences to a baseline of the same name, strength and seed, or else to any baseline of the same strength and seed."""
     last = _seeds(spark, sf_dir)
-    base = is_baseline(F.col("annotator"))
+    base = is_baseline(F.col("annotator"), data.BASELINE)
     return _rounded(paired_with_fallback(last.where(~base), last.where(base), RUN, ["lam", "seed"], "annotator", ["annotator", "lam"], ["jsd_mean", "mauve"]))
 
 

@@ -152,7 +152,7 @@ def test_run_logs(spark, tmp_path):
     kept = keep_last(logs, ["annotator", "lam", "seed", "round"], [F.col("line_no")])
     got = sorted((r["annotator"], r["lam"], r["seed"], r["round"], r["jsd"], r["done"]) for r in kept.collect())
     assert got == [("cls-ft", 0.5, 1, 0, 0.3, False), ("maple-ft", 0.0, 1, 0, 0.5, True), ("maple-ft", 0.0, 1, 1, 0.4, True)]
-    shown = replicate_baseline(kept.select("annotator", "lam", "seed", "round", "jsd")).collect()
+    shown = replicate_baseline(kept.select("annotator", "lam", "seed", "round", "jsd"), "maple").collect()
     assert Counter(r["annotator"] for r in shown) == {"cls-ft": 3}
     side = spark.createDataFrame([(1, 1, 7.0), (1, 2, 8.0)], "round int, line_no int, mauve_x double")
     assert [r["mauve_x"] for r in join_side_file(spark.createDataFrame([(0,), (1,)], "round int"), side, ["round"]).orderBy("round").collect()] == [None, 8.0]
