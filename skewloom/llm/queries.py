@@ -101,6 +101,13 @@ def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quota_sample.quota_sample(rows, targets, QUOTA_ATTRIBUTES).withColumnsRenamed({"stratum": "shard", "id": "row_id"})
 
 
+def p3_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets that the drawn sample of a shard leaves below the greater of share*k and min_rows."""
+    _, targets = _quota_inputs(spark, sf_dir)
+    sample = p3_sample(spark, sf_dir).withColumnsRenamed({"shard": "stratum", "row_id": "id"})
+    return quota_sample.sample_misses(sample, targets, QUOTA_ATTRIBUTES).withColumnRenamed("stratum", "shard")
+
+
 # 4. frequency of every distinct value or term
 
 
@@ -173,7 +180,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_splits, p2_found, p2_consensus, p2_annotators, p3_found, p3_sample, p4_found, p4_terms,
+        p1_found, p1_splits, p2_found, p2_consensus, p2_annotators, p3_found, p3_sample, p3_misses, p4_found, p4_terms,
         p5_found, p6_found, p6_containers, p7_found, p7_matches, p8_found, p8_rates,
     )
 }

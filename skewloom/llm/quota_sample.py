@@ -93,9 +93,10 @@ def _capacity(targets: DataFrame) -> int:
 def quota_sample(rows: DataFrame, targets: DataFrame, attributes: list[str], seed: int = 0, sweeps: int = 300) -> DataFrame:
     """(stratum, id, one column per attribute): up to k rows per stratum whose shares follow all targets at once.
 
-    Quotas of the joint cells come from proportional fitting of the cells to the targets of each
-    attribute in turn, never above what a cell holds, with categories raised to their minimum; whole
-    numbers by largest remainder. Each cell's reservoir is then trimmed to its quota in hash order,
+    Quotas of the joint cells come from proportional fitting of the cells to the goals of each attribute
+    in turn, never above what a cell holds. Goals reserve the minimums first and share out what is left of
+    k; whole numbers by largest remainder, then single rows change cells until no change brings a category
+    closer to its minimum or goal. Each cell's reservoir is then trimmed to its quota in hash order,
     which is a uniform draw. Categories without a target get no rows unless the targets cannot fill k.
     Empty rows or targets give an empty sample. An id whose versions differ in their labels counts in its smallest joint cell.
     """
@@ -121,18 +122,53 @@ def quota_sample(rows: DataFrame, targets: DataFrame, attributes: list[str], see
     return chosen.select("stratum", "id", *(parts[i].alias(a) for i, a in enumerate(attributes)))
 
 
+def sample_misses(sample: DataFrame, targets: DataFrame, attributes: list[str]) -> DataFrame:
+    """(stratum, attr, category, need, min_rows, drawn) of every target that the drawn sample leaves below its need."""
+    labels = F.array(*(F.struct(F.lit(a).alias("attr"), F.col(a).alias("label")) for a in attributes))
+    drawn = sample.select("stratum", F.inline(labels)).groupBy("stratum", "attr", "label").agg(F.count(F.lit(1)).alias("drawn"))
+    return (
+        targets.join(drawn, ["stratum", "attr", "label"], "left")
+        .withColumn("drawn", F.coalesce("drawn", F.lit(0).cast("bigint")))
+        .where(F.col("drawn") < F.col("need"))
+        .select("stratum", "attr", "category", "need", "min_rows", "drawn")
+    )
+
+
+def goals(share: np.ndarray, least: np.ndarray, have: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(reserved, goal) of one attribute's categories: whole minimums, and these with what shares get of the rest of ``k``.
+
+    Neither exceeds what a category has. Minimums that together exceed k are cut from the largest down, so that the small ones hold.
+    """
+    reserved = np.minimum(np.ceil(least), have).astype(np.int64)
+    if reserved.sum() > k:
+        level = max(x for x in range(k + 1) if np.minimum(reserved, x).sum() <= k)
+        over = np.flatnonzero(reserved > level)
+        reserved = np.minimum(reserved, level)
+        reserved[over[: k - int(reserved.sum())]] += 1
+    rest = np.maximum(share - reserved, 0.0)
+    low, high = 0.0, 1e6
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if np.minimum(reserved + mid * rest, have).sum() <= k else (low, mid)
+    return reserved, np.minimum(reserved + low * rest, have)
+
+
 def cell_quotas(labels: list[list[str]], have: np.ndarray, target: pd.DataFrame, attributes: list[str], sweeps: int) -> np.ndarray:
     """Whole quotas of the joint cells of one stratum."""
     k = int(min(target["k"].max(), have.sum()))
-    goal = {a: dict(zip(t["label"], t["need"])) for a, t in target.groupby("attr")}
     weight = have.astype(float) / max(have.sum(), 1)
-    sides = []
+    sides, pulls = [], []
     for i, a in enumerate(attributes):
-        if a in goal:
+        t = target[target["attr"] == a]
+        if len(t):
             names, inverse = np.unique([x[i] for x in labels], return_inverse=True)
-            want = np.array([goal[a].get(n, 0.0) for n in names])
-            want = want * (k / want.sum()) if want.sum() > 0 else np.bincount(inverse, have) * k / have.sum()
-            sides.append((inverse, want))
+            asked = {label: (s * top, least) for label, s, top, least in zip(t["label"], t["share"].fillna(0), t["k"], t["min_rows"].fillna(0))}
+            share, least = (np.array([asked.get(n, (0.0, 0.0))[j] for n in names], dtype=float) for j in (0, 1))
+            held = np.bincount(inverse, have)
+            reserved, want = goals(share, least, held, k)
+            used_up = (want > held - 1e-6) & (want > 0)
+            pulls.append((inverse, [(1000.0, reserved), (30.0, np.where(used_up, held, 0)), (1.0, np.floor(want + 1e-6))]))
+            sides.append((inverse, want if want.sum() > 0 else held * k / have.sum()))
     size = weight * k
     for _ in range(sweeps):
         before = size.copy()
@@ -141,6 +177,7 @@ def cell_quotas(labels: list[list[str]], have: np.ndarray, target: pd.DataFrame,
             size = np.minimum(size * np.divide(want, at, out=np.zeros_like(want), where=at > 0)[inverse], have)
         if np.abs(size - before).max() < 1e-6:
             break
+    size *= min(1.0, k / max(size.sum(), 1e-9))  # goals that exclude each other can leave more than k
     floor = np.minimum(np.floor(size + 1e-9), have).astype(np.int64)
     for worth in (np.where(size > 0, size - floor, -1.0), weight):  # what is left: largest remainders, then cells without a target
         while (left := k - int(floor.sum())) > 0:
@@ -148,4 +185,32 @@ def cell_quotas(labels: list[list[str]], have: np.ndarray, target: pd.DataFrame,
             if not len(open_):
                 break
             floor[open_[np.argsort(-worth[open_], kind="stable")][:left]] += 1
-    return floor
+    return _exchange(floor, have, size, pulls)
+
+
+def _exchange(quota: np.ndarray, have: np.ndarray, size: np.ndarray, pulls: list, tries: int = 64) -> np.ndarray:
+    """Moves single rows between cells as long as that lowers the weighted rows missing from the levels of ``pulls``.
+
+    ``pulls`` has per attribute the category of every cell and (weight, level of every category) pairs. Every
+    move lowers the sum by at least 1, so the moves end.
+    """
+    while True:
+        more, less = [], []  # change of the sum by one row more or less in each cell, per attribute
+        for inverse, levels in pulls:
+            n = np.bincount(inverse, quota, len(levels[0][1]))
+            more.append(-sum(w * (level > n) for w, level in levels)[inverse])
+            less.append(sum(w * (level >= n) * (n > 0) for w, level in levels)[inverse])
+        gain = np.where(quota < have, sum(more, np.zeros(len(quota))), 0.0)
+        into = np.lexsort((quota - size, gain))[:tries]
+        into = into[gain[into] < 0]
+        best = None
+        for i in into:
+            delta = sum((np.where(inverse == inverse[i], 0.0, m[i] + x) for (inverse, _), m, x in zip(pulls, more, less)), np.zeros(len(quota)))
+            delta[(quota == 0) | (np.arange(len(quota)) == i)] = np.inf
+            j = np.lexsort((size - quota, delta))[0]
+            if delta[j] <= -1 and (best is None or delta[j] < best[0]):
+                best = (delta[j], i, j)
+        if best is None:
+            return quota
+        quota[best[1]] += 1
+        quota[best[2]] -= 1

@@ -1,8 +1,10 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 from skewloom.llm.common import plain
-from skewloom.llm.quota_sample import labelled_rows, quota_sample, shortfalls, target_table
+from skewloom.llm.quota_sample import goals, labelled_rows, quota_sample, sample_misses, shortfalls, target_table
 
 ATTRS = ["size", "kind", "words"]
 
@@ -70,3 +72,23 @@ def test_empty_tables(spark):
     assert shortfalls(rows, targets(spark, []), ATTRS).count() == 0
     assert quota_sample(rows, targets(spark, []), ATTRS).count() == 0
     assert plain is not None
+
+
+def test_minimums_hold_beside_an_unreachable_one(spark):
+    draw = random.Random(5)
+    rows = [(0, i, draw.choice(["a", "b", "c", "d"]), draw.choices(["x", "y", "rare"], [30, 60, 6])[0], draw.choice([50, 100, 150, 200]), "t", "", "") for i in range(900)]
+    d = labelled_rows(pool(spark, rows), "shard", "row_id", "text", ATTRS, "words")
+    wish = [(0, "kind", "x", 0.5, 60, 0), (0, "kind", "y", 0.49, 60, 5000), (0, "kind", "rare", 0.01, 60, 7), *((0, "size", c, 0.25, 60, 3) for c in "abcd"), *((0, "words", str(c), 0.25, 60, 0) for c in (50, 100, 150, 200))]
+    t = targets(spark, wish)
+    sample = quota_sample(d, t, ATTRS)
+    have = Counter(r["kind"] for r in sample.collect())
+    assert have == {"rare": 7, "y": 53}
+    misses = {r["category"]: (r["need"], r["drawn"]) for r in sample_misses(sample, t, ATTRS).where("attr = 'kind'").collect()}
+    assert misses == {"x": (30.0, 0), "y": (5000.0, 53)}
+
+
+def test_minimums_come_first_and_shares_divide_the_rest():
+    reserved, goal = goals(np.array([50.0, 50.0, 0.0]), np.array([0.0, 80.0, 4.0]), np.array([90, 70, 90]), 100)
+    assert reserved.tolist() == [0, 70, 4] and np.allclose(goal, [26, 70, 4])
+    reserved, _ = goals(np.array([5.0, 5.0, 0.0]), np.array([40.0, 90.0, 2.0]), np.array([99, 99, 99]), 10)
+    assert reserved.tolist() == [4, 4, 2]
