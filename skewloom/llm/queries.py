@@ -98,7 +98,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sample of every shard."""
     rows, targets = _quota_inputs(spark, sf_dir)
-    return quota_sample.quota_sample(rows, targets, QUOTA_ATTRIBUTES).withColumnsRenamed({"stratum": "shard", "id": "row_id"})
+    return quota_sample.quota_sample(rows, targets, QUOTA_ATTRIBUTES, incomplete=True).withColumnsRenamed({"stratum": "shard", "id": "row_id"})
 
 
 def p3_misses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import blank, plain
 
 CELL = "joint cell"
+#: Label of a missing value in a joint cell; plain labels hold letters and digits only.
+MISSING = "\x1e"
 
 
 def labelled_rows(df: DataFrame, stratum: str, id_col: str, text_col: str, attributes: list[str], length: str, width: int = 50) -> DataFrame:
@@ -39,13 +41,15 @@ def target_table(targets: DataFrame, stratum: str) -> DataFrame:
     )
 
 
-def reservoirs(rows: DataFrame, attributes: list[str], capacity: int, seed: int = 0, joint: bool = True) -> DataFrame:
+def reservoirs(rows: DataFrame, attributes: list[str], capacity: int, seed: int = 0, joint: bool = True, incomplete: bool = False) -> DataFrame:
     """(stratum, attr, label, id, draw): the merged bottom-``capacity`` reservoir of every category and joint cell.
 
     The attribute of a joint cell is ``CELL`` and its label joins the labels; ``joint=False`` leaves these out. Rows with a null label
-    are in no category of that attribute and in no joint cell. ``draw`` is the hash that ranks the ids.
+    are in no category of that attribute, and in no joint cell unless ``incomplete``, where a null counts as ``MISSING``.
+    ``draw`` is the hash that ranks the ids.
     """
-    cell = F.concat(*(x for a in attributes for x in (F.lit("\x1f"), F.col(a))))  # null if one of them is
+    part = {a: F.coalesce(F.col(a), F.lit(MISSING)) if incomplete else F.col(a) for a in attributes}
+    cell = F.concat(*(x for a in attributes for x in (F.lit("\x1f"), part[a])))  # null if one of them is
     keyed = rows.withColumn("draw", F.xxhash64(F.lit(seed), F.col("id"))).withColumn(CELL, F.substring(cell, 2, 1 << 30))
 
     def one_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,7 +94,7 @@ def _capacity(targets: DataFrame) -> int:
     return max(1, int(top[0] or 0), int(top[1] or 0))
 
 
-def quota_sample(rows: DataFrame, targets: DataFrame, attributes: list[str], seed: int = 0, sweeps: int = 300) -> DataFrame:
+def quota_sample(rows: DataFrame, targets: DataFrame, attributes: list[str], seed: int = 0, sweeps: int = 300, incomplete: bool = False) -> DataFrame:
     """(stratum, id, one column per attribute): up to k rows per stratum whose shares follow all targets at once.
 
     Quotas of the joint cells come from proportional fitting of the cells to the goals of each attribute
@@ -98,11 +102,14 @@ def quota_sample(rows: DataFrame, targets: DataFrame, attributes: list[str], see
     k; whole numbers by largest remainder, then single rows change cells until no change brings a category
     closer to its minimum or goal. Each cell's reservoir is then trimmed to its quota in hash order,
     which is a uniform draw. Categories without a target get no rows unless the targets cannot fill k.
-    Empty rows or targets give an empty sample. An id whose versions differ in their labels counts in its smallest joint cell.
+    With ``incomplete`` a row that lacks some labels can be drawn too, for an exhausted category of the
+    labels it has or where k is not full. Empty rows or targets give an empty sample. An id whose versions
+    differ in their labels counts in its most complete one, the smallest joint cell of these.
     """
     capacity = _capacity(targets)
-    once = rows.groupBy("stratum", "id").agg(F.min(F.struct(*attributes)).alias("_c")).select("stratum", "id", "_c.*")
-    held = reservoirs(once, attributes, capacity, seed).where(F.col("attr") == CELL)
+    missing = sum((F.col(a).isNull().cast("int") for a in attributes), F.lit(0))
+    once = rows.groupBy("stratum", "id").agg(F.min(F.struct(missing.alias("_m"), *attributes)).alias("_c")).select("stratum", "id", *(f"_c.{a}" for a in attributes))
+    held = reservoirs(once, attributes, capacity, seed, incomplete=incomplete).where(F.col("attr") == CELL)
     cells = held.groupBy("stratum", "label").agg(F.count(F.lit(1)).alias("have"))
     kind = dict(rows.dtypes)["stratum"]
 
@@ -119,7 +126,7 @@ def quota_sample(rows: DataFrame, targets: DataFrame, attributes: list[str], see
     ranked = held.withColumn("_r", F.row_number().over(w))
     chosen = ranked.join(quotas, ["stratum", "label"]).where(F.col("_r") <= F.col("quota"))
     parts = F.split("label", "\x1f")
-    return chosen.select("stratum", "id", *(parts[i].alias(a) for i, a in enumerate(attributes)))
+    return chosen.select("stratum", "id", *(F.when(parts[i] != MISSING, parts[i]).alias(a) for i, a in enumerate(attributes)))
 
 
 def sample_misses(sample: DataFrame, targets: DataFrame, attributes: list[str]) -> DataFrame:
@@ -156,6 +163,7 @@ def goals(share: np.ndarray, least: np.ndarray, have: np.ndarray, k: int) -> tup
 def cell_quotas(labels: list[list[str]], have: np.ndarray, target: pd.DataFrame, attributes: list[str], sweeps: int) -> np.ndarray:
     """Whole quotas of the joint cells of one stratum."""
     k = int(min(target["k"].max(), have.sum()))
+    whole = np.array([MISSING not in x for x in labels])
     weight = have.astype(float) / max(have.sum(), 1)
     sides, pulls = [], []
     for i, a in enumerate(attributes):
@@ -169,7 +177,7 @@ def cell_quotas(labels: list[list[str]], have: np.ndarray, target: pd.DataFrame,
             used_up = (want > held - 1e-6) & (want > 0)
             pulls.append((inverse, [(1000.0, reserved), (30.0, np.where(used_up, held, 0)), (1.0, np.floor(want + 1e-6))]))
             sides.append((inverse, want if want.sum() > 0 else held * k / have.sum()))
-    size = weight * k
+    size = np.where(whole, weight, 0.0) * k
     for _ in range(sweeps):
         before = size.copy()
         for inverse, want in sides:

@@ -92,3 +92,16 @@ def test_minimums_come_first_and_shares_divide_the_rest():
     assert reserved.tolist() == [0, 70, 4] and np.allclose(goal, [26, 70, 4])
     reserved, _ = goals(np.array([5.0, 5.0, 0.0]), np.array([40.0, 90.0, 2.0]), np.array([99, 99, 99]), 10)
     assert reserved.tolist() == [4, 4, 2]
+
+
+def test_rows_with_missing_labels_fill_exhausted_categories_and_k(spark):
+    rows = [(0, i, "a" if i < 3 else "b", "x" if i % 2 else "y", 50, "t", "", "") for i in range(40)]
+    rows += [(0, 100, "a", None, 50, "t", "", ""), (0, 101, "a", "x", None, "t", "", ""), (0, 101, "a", None, None, "t", "", ""), (0, 102, None, None, None, "t", "", ""), (0, 103, "a", None, 50, "t", "", ""), (0, 103, "a", "y", 50, "t", "", "")]
+    d = labelled_rows(pool(spark, rows), "shard", "row_id", "text", ATTRS, "words")
+    wish = [(0, "size", "a", 0.5, 20, 0), (0, "size", "b", 0.5, 20, 0), (0, "kind", "x", 0.5, 20, 0), (0, "kind", "y", 0.5, 20, 0)]
+    got = {r["id"]: r for r in quota_sample(d, targets(spark, wish), ATTRS, incomplete=True).collect()}
+    assert len(got) == 20 and {0, 1, 2, 100, 101, 103} <= set(got) and 102 not in got
+    assert got[100]["kind"] is None and got[101]["kind"] == "x"
+    every = quota_sample(d, targets(spark, [(0, "size", "a", 1.0, 60, 0)]), ATTRS, incomplete=True).collect()
+    assert len(every) == 44
+    assert {r["id"] for r in quota_sample(d, targets(spark, wish), ATTRS).collect()} >= {0, 1, 2, 103}
