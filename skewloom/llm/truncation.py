@@ -1,7 +1,7 @@
 """Text values that were cut before their end.
 
 Intact values are cut artificially to get positives; a logistic regression over hashed features of
-the closing characters, of open markup and of the distance to the source's length limit learns to
+the closing characters, of open markup and of the distance to the source's nearest length limit learns to
 tell them from whole values, and then scores every record.
 """
 
@@ -28,20 +28,50 @@ LEAST_SEEN = 4
 MARKERS = ("…", "...", " [more]", " […]", " [...]", " (more)", " read more")
 #: Share of a source's values that lie within ``NEAR`` of its greatest length if that length is a limit.
 HEAPED, NEAR = 0.02, 0.04
+#: Values of one length, as a multiple of what its neighbours let expect, that make that length a limit.
+SPIKE = 8
 
 _DIGITS = re.compile(r"\d[\d,.]*\d|\d")
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_|\n")
 _PAIRS = (("[[", "]]"), ("{{", "}}"), ("{|", "|}"), ("<ref>", "</ref>"), ("<!--", "-->"), ("(", ")"), ("«", "»"), ("“", "”"))
 
 
+def heaped_lengths(lengths: np.ndarray, counts: np.ndarray) -> list[int]:
+    """Lengths, in ascending order, at which the values of a histogram with ascending ``lengths`` heap up.
+
+    A heap has ``SPIKE`` times the values that its neighbours within ``NEAR`` let expect; of heaps that
+    close together the greatest counts. The greatest length is one too if ``HEAPED`` of all values lie close below it.
+    """
+    if not len(lengths):
+        return []
+    total = np.r_[0, np.cumsum(counts)]
+    wide = np.maximum(8, NEAR * lengths)
+    around = total[np.searchsorted(lengths, lengths + wide, "right")] - total[np.searchsorted(lengths, lengths - wide)] - counts
+    spikes = lengths[counts >= SPIKE * (around / (2 * wide) + 0.5)].tolist()
+    top = int(lengths[-1])
+    if counts[lengths >= (1 - NEAR) * top].sum() >= HEAPED * total[-1]:
+        spikes.append(top)
+    return sorted({int(x) for x in spikes if not any((1 - NEAR) * y <= x < y for y in spikes)})
+
+
+def source_limits(docs: DataFrame, text_col: str, source_col: str) -> DataFrame:
+    """(source, limits_chars, limits_bytes): the lengths at which each source's values heap up, in ascending order."""
+    kind = dict(docs.dtypes)[source_col]
+    both = F.array(F.struct(F.lit("c").alias("unit"), F.length(text_col).alias("n")), F.struct(F.lit("b").alias("unit"), F.octet_length(text_col).alias("n")))
+    sized = docs.where(F.length(text_col) > 0).select(F.col(source_col).alias("source"), F.inline(both))
+
+    def run(key: tuple, h: pd.DataFrame) -> pd.DataFrame:  # a row per distinct length of the source
+        h = h.sort_values("n")
+        found = {u: heaped_lengths(x["n"].to_numpy(), x["rows"].to_numpy()) for u, x in h.groupby("unit")}
+        return pd.DataFrame({"source": [key[0]], "limits_chars": [found["c"]], "limits_bytes": [found["b"]]})
+
+    histogram = sized.groupBy("source", "unit", "n").agg(F.count(F.lit(1)).alias("rows"))
+    return histogram.groupBy("source").applyInPandas(run, f"source {kind}, limits_chars array<int>, limits_bytes array<int>")
+
+
 def length_limits(docs: DataFrame, text_col: str, source_col: str) -> DataFrame:
-    """(source, limit_chars, limit_bytes): the greatest lengths of sources where values heap up just below them, else null."""
-    sized = docs.select(F.col(source_col).alias("source"), F.length(text_col).alias("c"), F.octet_length(text_col).alias("b")).where("c > 0")
-    most = sized.groupBy(F.col("source").alias("_s")).agg(F.max("c").alias("mc"), F.max("b").alias("mb"))
-    near = lambda a, m: F.avg((F.col(a) >= (1 - NEAR) * F.col(m)).cast("double")) >= HEAPED
-    joined = sized.join(most, F.col("source").eqNullSafe(F.col("_s")))
-    held = joined.groupBy("source").agg(F.first("mc").alias("mc"), F.first("mb").alias("mb"), near("c", "mc").alias("hc"), near("b", "mb").alias("hb"))
-    return held.select("source", F.when(F.col("hc"), F.col("mc")).alias("limit_chars"), F.when(F.col("hb"), F.col("mb")).alias("limit_bytes"))
+    """(source, limit_chars, limit_bytes): the greatest of each source's limits, null without any."""
+    return source_limits(docs, text_col, source_col).select("source", F.array_max("limits_chars").alias("limit_chars"), F.array_max("limits_bytes").alias("limit_bytes"))
 
 
 def _hash(feature: str) -> int:
@@ -73,6 +103,14 @@ def gap_feature(length: int, limit: float | None) -> str:
     return next((name for most, name in ((0, "0"), (4, "4"), (16, "16"), (NEAR * limit, "near")) if gap <= most), "far")
 
 
+def gap_to(length: int, limits: np.ndarray | None) -> str:
+    """How far a length is below the nearest limit at or above it; far if the source's limits are all below it."""
+    if limits is None or not len(limits):
+        return "none"
+    above = [x for x in limits if x >= length]
+    return gap_feature(length, min(above)) if above else "far"
+
+
 def features(text: str, gap_chars: str, gap_bytes: str) -> list[int]:
     """Hashed features of one value: its closing characters, punctuation, open markup and distances to the limit."""
     end = _DIGITS.sub("0", text[-160:])
@@ -118,10 +156,10 @@ def cut_short(text: str, draw: np.random.Generator) -> str | None:
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    limits = length_limits(docs, text_col, source_col)
+    limits = source_limits(docs, text_col, source_col)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
     joined = rows.join(limits.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left")
-    return joined.select("id", "source", "text", "limit_chars", "limit_bytes")
+    return joined.select("id", "source", "text", "limits_chars", "limits_bytes")
 
 
 def fit(prepared: DataFrame, records: int = FIT_RECORDS, seed: int = 0) -> np.ndarray:
@@ -141,7 +179,7 @@ def fit(prepared: DataFrame, records: int = FIT_RECORDS, seed: int = 0) -> np.nd
             for r in b.itertuples(index=False):
                 fold = zlib.crc32(repr(r.id).encode()) % 2
                 draw = np.random.default_rng([seed, zlib.crc32(r.text.encode())])
-                gaps = (gap_feature(len(r.text), r.limit_chars), gap_feature(len(r.text.encode()), r.limit_bytes))
+                gaps = (gap_to(len(r.text), r.limits_chars), gap_to(len(r.text.encode()), r.limits_bytes))
                 if set(gaps) <= {"far", "none"}:
                     out.append((0, fold, features(r.text, *_supposed(gaps, draw, 0.15))))
                 if (part := cut_short(r.text, draw)) is not None:
@@ -209,11 +247,11 @@ def truncation_scores(docs: DataFrame, id_col: str, text_col: str, source_col: s
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for text, chars, size in zip(b["text"], b["limit_chars"], b["limit_bytes"]):
+            for text, chars, size in zip(b["text"], b["limits_chars"], b["limits_bytes"]):
                 if text is None or not text.strip():
                     out.append(0.0)
                 else:
-                    at = features(text, gap_feature(len(text), chars), gap_feature(len(text.encode()), size))
+                    at = features(text, gap_to(len(text), chars), gap_to(len(text.encode()), size))
                     out.append(float(1 / (1 + np.exp(-np.clip(weights[at].sum(), -30, 30)))))
             yield pd.DataFrame({"id": b["id"], "source": b["source"], "score": out})
 

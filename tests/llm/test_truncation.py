@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from skewloom.llm.truncation import cut_short, features, gap_feature, length_limits, line_kind, truncation_rates, truncation_scores
+from skewloom.llm.truncation import cut_short, features, gap_feature, gap_to, length_limits, line_kind, source_limits, truncation_rates, truncation_scores
 
 NOUNS = ["river", "mill", "bridge", "market", "tower", "harbour", "library", "orchard"]
 
@@ -78,3 +78,13 @@ def test_pieces_of_the_features():
     parts = [cut_short(text, draw) for _ in range(50)]
     assert all(p is None or p[-1] not in ".\n" or p.endswith("...") for p in parts) and any(parts)
     assert cut_short("short", draw) is None
+
+
+def test_limits_below_the_greatest_length_count_too(spark):
+    rows = [(i, "x" * (500 if i % 6 == 0 else 1200 if i % 6 == 1 else 40 + 9 * i), "mixed", 0.0) for i in range(300)] + [(300, "x" * 40_000, "mixed", 0.0)]
+    rows += [(i, "x" * (30 + 5 * i), None, 0.0) for i in range(200)]
+    got = {r["source"]: (r["limits_chars"], r["limits_bytes"]) for r in source_limits(frame(spark, rows), "text", "source").collect()}
+    assert got["mixed"] == ([500, 1200], [500, 1200])
+    assert gap_to(500, [500, 1200]) == "0" and gap_to(501, [500, 1200]) == "far" and gap_to(1190, [500, 1200]) == "16" and gap_to(3000, [500, 1200]) == "far" and gap_to(5, []) == "none"
+    limit = length_limits(frame(spark, rows).where("source = 'mixed'"), "text", "source").first()
+    assert (limit["limit_chars"], limit["limit_bytes"]) == (1200, 1200)
