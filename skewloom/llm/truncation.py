@@ -115,7 +115,7 @@ def features(text: str, gap_chars: str, gap_bytes: str) -> list[int]:
     """Hashed features of one value: its closing characters, punctuation, open markup and distances to the limit."""
     end = _DIGITS.sub("0", text[-160:])
     tail = end.rstrip()
-    line = text.rstrip().rsplit("\n", 1)[-1][:2000]
+    line = text.rstrip().rsplit("\n", 1)[-1]
     kind = line_kind(line)
     tokens = _TOKEN.findall(tail)[-4:]
     last = tokens[-1] if tokens else ""

@@ -88,3 +88,10 @@ def test_limits_below_the_greatest_length_count_too(spark):
     assert gap_to(500, [500, 1200]) == "0" and gap_to(501, [500, 1200]) == "far" and gap_to(1190, [500, 1200]) == "16" and gap_to(3000, [500, 1200]) == "far" and gap_to(5, []) == "none"
     limit = length_limits(frame(spark, rows).where("source = 'mixed'"), "text", "source").first()
     assert (limit["limit_chars"], limit["limit_bytes"]) == (1200, 1200)
+
+
+def test_open_markup_is_seen_over_the_whole_last_line():
+    long = "word " * 900
+    for opened, closed in (("(a b", "(a) b"), ("'''a b", "'''a''' b"), ("<ref a b", "<ref> a b")):
+        assert features(long + opened + " of the old tower and the long bridge" * 9, "none", "none") != features(long + closed + " of the old tower and the long bridge" * 9, "none", "none")
+    assert features("(a " + long + "b) end", "none", "none") == features("a " + long + "b) end", "none", "none")
