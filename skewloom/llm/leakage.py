@@ -142,7 +142,8 @@ def search(index: DataFrame, passages: list[tuple], n: int, item_kind: str = "bi
     """
     tokens = [(item, words(text)) for item, text in passages]
     df = document_frequencies(index, {t for _, p in tokens for t in p})
-    wanted = [(item, p, anchors(p, n, df, each=2)) for item, p in tokens if len(p) >= n]
+    spare = int(n - near_share * n + 1e-9)  # words of a run that a near match may miss
+    wanted = [(item, p, anchors(p, n, df, each=2), anchors(p, n, df, each=2 * spare + 2)) for item, p in tokens if len(p) >= n]
     doc_kind = index.schema["docs"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,7 +166,8 @@ def _search_segment(r, wanted: list[tuple], n: int, slack: int, near_share: floa
         k = place.get(term)
         return none if k is None else keys[(ends[k - 1] if k else 0) : ends[k]]
 
-    for item, passage, anchor in wanted:
+    spare = int(n - near_share * n + 1e-9)
+    for item, passage, anchor, rare in wanted:
         base = len(passage)  # keeps alignments before a text's first word apart from the document before it
         begins = [postings(passage[p]) + (base - p) for p in anchor if passage[p] in place]
         if not begins or not sum(map(len, begins)):
@@ -177,7 +179,15 @@ def _search_segment(r, wanted: list[tuple], n: int, slack: int, near_share: floa
             hit = np.stack([_among(chunk + q, own[q], 0) for q in range(len(passage))], axis=1)
             run, at = _longest_run(hit)
             near = np.zeros_like(run)
-            weak = np.flatnonzero((run < n) & (hit.sum(axis=1) >= near_share * n / 2))
+            # A near match misses at most ``spare`` words of its run, so also at most ``spare`` of the run's rare ones.
+            seen = np.zeros((len(chunk), len(passage) + 1), dtype=np.int16)
+            inside = np.zeros(len(passage) + 1, dtype=np.int16)
+            for q in rare:
+                seen[:, q + 1] = _among(chunk + q, own[q], slack)
+                inside[q + 1] = 1
+            seen, inside = np.cumsum(seen, axis=1, dtype=np.int16), np.cumsum(inside)
+            enough = (seen[:, n:] - seen[:, :-n] >= inside[n:] - inside[:-n] - spare).any(axis=1)
+            weak = np.flatnonzero((run < n) & enough)
             if len(weak):
                 soft = np.stack([_among(chunk[weak] + q, own[q], slack) for q in range(len(passage))], axis=1)
                 total = np.cumsum(np.c_[np.zeros(len(weak), dtype=int), soft], axis=1)

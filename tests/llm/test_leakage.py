@@ -96,3 +96,40 @@ def test_every_run_has_a_rare_anchor():
     at = anchors(p, 3, df)
     assert 1 in at and all(any(s <= a < s + 3 for a in at) for s in range(len(p) - 2))
     assert all(sum(s <= a < s + 3 for a in anchors(p, 3, df, 2)) >= 2 for s in range(len(p) - 2))
+
+
+def nearest(doc, passage, n, df, slack, at):
+    """Most words of a run of n within slack of an alignment that starts at one of the anchors."""
+    best = 0
+    for d in {i - q for q in at for i, w in enumerate(doc) if w == passage[q]}:
+        soft = [passage[q] in doc[max(0, d + q - slack) : max(0, d + q + slack + 1)] for q in range(len(passage))]
+        best = max(best, *(sum(soft[s : s + n]) for s in range(len(passage) - n + 1)))
+    return best
+
+
+def test_proximity_matches_equal_brute_force(spark):
+    draw = random.Random(6)
+    passages = [(i, " ".join(draw.sample([f"v{j}" for j in range(60)], draw.randint(10, 16)))) for i in range(10)]
+    rows = [(0, " ".join([*(p := passages[0][1].split())[:4], "X", *p[4:7], "Y", *p[7:10]]), "", "")]
+    for i in range(1, 150):
+        text = []
+        for w in draw.choice(passages)[1].split():
+            text += [w] * (draw.random() > 0.08) + ["zz"] * (draw.random() < 0.25)
+        if draw.random() < 0.3:
+            k = draw.randrange(max(1, len(text) - 1))
+            text[k : k + 2] = reversed(text[k : k + 2])
+        rows.append((i, " ".join(draw.choices(VOCAB, k=3) + text + draw.choices(VOCAB, k=3)), "", ""))
+    got = {(r["doc"], r["item"]): (r["match"], r["words"]) for r in find_passages(docs(spark, rows), "doc_id", "text", items(spark, passages), "item_id", "passage").collect()}
+    df = {}
+    for _, t, *_ in rows:
+        for w in set(t.split()):
+            df[w.lower()] = df.get(w.lower(), 0) + 1
+    want = {}
+    for i, t, *_ in rows:
+        for k, p in passages:
+            p = p.split()
+            if (size := longest(t, " ".join(p))) >= 10:
+                want[i, k] = ("exact", size)
+            elif (size := nearest(t.lower().split(), p, 10, df, 3, anchors(p, 10, df, 2))) >= 9:
+                want[i, k] = ("proximity", size)
+    assert got == want and got[0, 0] == ("proximity", 10) and sum(m == "proximity" for m, _ in want.values()) > 40
