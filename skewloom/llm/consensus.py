@@ -12,6 +12,7 @@ is one pass over the packed rows and an aggregate of partial sums, and shuffles
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,7 +87,7 @@ class Rates:
         hit, false = np.clip(hit, 1e-3, 1 - 1e-3), np.clip(false, 1e-4, 1 - 1e-3)
         self.says, self.silent = np.log(hit / false), np.log((1 - hit) / (1 - false))
         self.prior = np.clip(prior / max(prior.sum(), 1e-9), 1e-6, 1 - 1e-6)
-        self.hit = hit
+        self.hit, self.false = hit, false
 
 
 def consensus(votes: DataFrame, extra: DataFrame | None = None, max_rounds: int = 30, tolerance: float = 2e-3) -> tuple[DataFrame, DataFrame]:
@@ -100,7 +101,8 @@ def consensus(votes: DataFrame, extra: DataFrame | None = None, max_rounds: int
     and the numbers of votes and of different options. The second has (attr, annotator, labels,
     reliability): the believed share of the annotator's labels that are right, with one right and
     one wrong label added. Items without a vote do not occur. Repeated edges of one annotator on an item
-    count once (the smallest option). Empty votes give two empty results.
+    count once (the smallest option). Empty votes give two empty results. Rounds end when no hit or false
+    rate moves by ``tolerance``; if one still does after ``max_rounds``, a RuntimeWarning says so.
     """
     votes = votes.withColumn("vote", F.lit(True))
     if extra is not None:
@@ -132,10 +134,13 @@ def consensus(votes: DataFrame, extra: DataFrame | None = None, max_rounds: int
                     right[i], belief[i] = r, b
             new[attr] = Rates(named[attr], right, belief, prior)
             seen = named[attr].sum(axis=1) > 0
-            moved = max(moved, np.abs(new[attr].accuracy - state[attr].accuracy)[seen].max() if state[attr] is not None else 1.0)
+            both = ((new[attr].hit, state[attr].hit), (new[attr].false, state[attr].false)) if state[attr] is not None else ()
+            moved = max(moved, *(np.abs(a - b)[seen].max() for a, b in both)) if both else 1.0
         state = new
         if moved < tolerance:
             break
+    else:
+        _not_converged(max_rounds, moved)
 
     option_kind, item_kind, name_kind = edges.schema["option"].dataType.simpleString(), packed.schema["item"].dataType.simpleString(), names.schema["annotator"].dataType.simpleString()
     items = packed.mapInPandas(_decide(state, classes, at), f"attr string, item {item_kind}, option {option_kind}, confidence double, agreement double, annotators int, options int")
@@ -161,12 +166,14 @@ def _consensus_by_join(packed: DataFrame, counts: DataFrame, classes: dict, max_
             found.setdefault(r["attr"], np.zeros(len(classes[r["attr"]])))[r["pos"]] = r["prior"]
         prior = {a: np.clip(p / max(p.sum(), 1e-9), 1e-6, 1 - 1e-6) for a, p in found.items()}
         new = written(_rate_table(total.where("annotator is not null").drop("prior"), named))
-        moved = 1.0 if rates is None else new.join(rates.select("attr", "annotator", F.col("accuracy").alias("_a")), ["attr", "annotator"]).agg(F.max(F.abs(F.col("accuracy") - F.col("_a")))).first()[0]
+        moved = 1.0 if rates is None else _moved(new, rates)
         forget(sums)
         forget(before)
         before, rates = rates, new
         if moved < tolerance:
             break
+    else:
+        _not_converged(max_rounds, moved)
     fed = _fed(packed, rates)
     items = fed.mapInPandas(_edge_items(classes, prior), f"attr string, item {item_kind}, option {kinds['what']}, confidence double, agreement double, annotators int, options int")
     judged = fed.mapInPandas(_edge_judge(classes, prior), f"attr string, annotator {kinds['who']}, right double").groupBy("attr", "annotator")
@@ -174,6 +181,17 @@ def _consensus_by_join(packed: DataFrame, counts: DataFrame, classes: dict, max_
     return items, total.select("attr", "annotator", "labels", ((F.col("right") + 1) / (F.col("labels") + 2)).alias("reliability"))
 
 
+def _moved(new: DataFrame, old: DataFrame) -> float:
+    """The greatest movement of a hit or false rate."""
+    pairs = new.join(old.select("attr", "annotator", F.col("hit").alias("_h"), F.col("false").alias("_f")), ["attr", "annotator"])
+    most = lambda a, b: F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
+    return pairs.agg(F.max(F.greatest(most("hit", "_h"), most("false", "_f")))).first()[0] or 0.0
+
+
+def _not_converged(rounds: int, moved: float) -> None:
+    warnings.warn(f"consensus: a rate still moves by {moved:.4f} after max_rounds = {rounds}", RuntimeWarning, stacklevel=3)
+
+
 def _fed(packed: DataFrame, rates: DataFrame | None) -> DataFrame:
     """Packed rows with the log-likelihood ratios of each edge's annotator."""
     if rates is None:
@@ -185,7 +203,7 @@ def _fed(packed: DataFrame, rates: DataFrame | None) -> DataFrame:
 
 
 def _rate_table(total: DataFrame, named: DataFrame) -> DataFrame:
-    """(attr, annotator, accuracy, says, silent) by the formulas of ``Rates``."""
+    """(attr, annotator, accuracy, says, silent, hit, false) by the formulas of ``Rates``."""
     own = Window.partitionBy("attr", "annotator")
     d = total.join(named, ["attr", "annotator", "pos"], "left").fillna(0, ["named"])
     d = d.withColumn("labels", F.sum("named").over(own)).withColumn("acc", (F.sum("right").over(own) + 1) / (F.col("labels") + 2))
@@ -194,9 +212,9 @@ def _rate_table(total: DataFrame, named: DataFrame) -> DataFrame:
     false = (F.col("named") - F.col("right") + PRIOR_LABELS * (1 - F.col("acc")) * some) / (F.greatest(F.col("labels") - F.col("belief"), F.lit(0.0)) + PRIOR_LABELS)
     clip = lambda c, a: F.least(F.greatest(c, F.lit(a)), F.lit(1 - 1e-3))
     d = d.withColumn("h", clip(hit, 1e-3)).withColumn("f", clip(false, 1e-4))
-    each = F.sort_array(F.collect_list(F.struct("pos", F.log(F.col("h") / F.col("f")).alias("says"), F.log((1 - F.col("h")) / (1 - F.col("f"))).alias("silent"))))
+    each = F.sort_array(F.collect_list(F.struct("pos", F.log(F.col("h") / F.col("f")).alias("says"), F.log((1 - F.col("h")) / (1 - F.col("f"))).alias("silent"), "h", "f")))
     out = d.groupBy("attr", "annotator").agg(F.first("acc").alias("accuracy"), each.alias("v"))
-    return out.select("attr", "annotator", "accuracy", F.col("v.says").alias("says"), F.col("v.silent").alias("silent"))
+    return out.select("attr", "annotator", "accuracy", F.col("v.says").alias("says"), F.col("v.silent").alias("silent"), F.col("v.h").alias("hit"), F.col("v.f").alias("false"))
 
 
 def _edge_parts(batches: Iterator[pd.DataFrame], classes: dict, prior: dict):

@@ -1,6 +1,9 @@
 import random
 from datetime import datetime
 
+import numpy as np
+import pytest
+
 from skewloom.llm import consensus as module
 from skewloom.llm.consensus import consensus, latest_votes, match_options
 
@@ -87,3 +90,23 @@ def test_rates_as_a_joined_table_give_the_same(spark, monkeypatch):
     assert sorted(map(key, one[0].collect())) == sorted(map(key, two[0].collect()))
     rel = [{(r["attr"], r["annotator"]): (r["labels"], round(r["reliability"], 6)) for r in x[1].collect()} for x in (one, two)]
     assert rel[0] == rel[1]
+
+
+def test_rounds_end_when_every_rate_is_still(spark, monkeypatch):
+    _, rows = votes_of(300, {"good1": 0.9, "good2": 0.8, "weak1": 0.4, "weak2": 0.3, "spam": "first"})
+    seen = []
+
+    class Seen(module.Rates):
+        def __init__(self, *how):
+            super().__init__(*how)
+            seen.append(self)
+
+    with monkeypatch.context() as m:
+        m.setattr(module, "Rates", Seen)
+        consensus(frame(spark, rows))
+    assert 2 < len(seen) < 30
+    assert np.abs(seen[-1].hit - seen[-2].hit).max() < 2e-3 and np.abs(seen[-1].false - seen[-2].false).max() < 2e-3
+    for most in (module.MAX_RATES, 1):
+        monkeypatch.setattr(module, "MAX_RATES", most)
+        with pytest.warns(RuntimeWarning, match="max_rounds = 2"):
+            consensus(frame(spark, rows), max_rounds=2)
