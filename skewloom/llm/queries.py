@@ -102,10 +102,10 @@ def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets that the drawn sample of a shard leaves below the greater of share*k and min_rows."""
-    _, targets = _quota_inputs(spark, sf_dir)
-    sample = p3_sample(spark, sf_dir).withColumnsRenamed({"shard": "stratum", "row_id": "id"})
-    return quota_sample.sample_misses(sample, targets, QUOTA_ATTRIBUTES).withColumnRenamed("stratum", "shard")
+    """Targets that the drawn sample of a shard leaves below the greater of share*k and min_rows, with the reason."""
+    rows, targets = _quota_inputs(spark, sf_dir)
+    sample = quota_sample.quota_sample(rows, targets, QUOTA_ATTRIBUTES, incomplete=True)
+    return quota_sample.sample_misses(sample, targets, QUOTA_ATTRIBUTES, rows).withColumnRenamed("stratum", "shard")
 
 
 # 4. frequency of every distinct value or term

@@ -8,7 +8,6 @@ A reservoir that is not full is its whole category, which makes the shortfall re
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +15,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blank, plain
+from ..storage import written
+from .common import blank, join_unique, plain
 
 CELL = "joint cell"
 #: Label of a missing value in a joint cell; plain labels hold letters and digits only.
 MISSING = "\x1e"
+#: Label, in a joint cell, of values that no target of the stratum names.
+UNASKED = "\x1d"
+#: Targets that a join may broadcast: at a hundred bytes each, 10 MB.
+MAX_TARGETS = 100_000
 
 
 def labelled_rows(df: DataFrame, stratum: str, id_col: str, text_col: str, attributes: list[str], length: str, width: int = 50) -> DataFrame:
@@ -41,35 +45,80 @@ def target_table(targets: DataFrame, stratum: str) -> DataFrame:
     )
 
 
-def reservoirs(rows: DataFrame, attributes: list[str], capacity: int, seed: int = 0, joint: bool = True, incomplete: bool = False) -> DataFrame:
+def _smallest(code: np.ndarray, draw: np.ndarray, ident: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of each code that have one of its ``capacity`` smallest draws, in order; a repeated row counts once."""
+    order = np.lexsort((draw, code))
+    code, draw, ident = code[order], draw[order], ident[order]
+    fresh = np.r_[True, code[1:] != code[:-1]]
+    step = fresh | np.r_[True, draw[1:] != draw[:-1]]
+    rank = np.cumsum(step)
+    first = np.flatnonzero(fresh)
+    rank -= np.repeat(rank[first], np.diff(np.r_[first, len(code)]))
+    keep = (rank < capacity) & (step | np.r_[True, ident[1:] != ident[:-1]])
+    return code[keep], draw[keep], ident[keep]
+
+
+#: Rows that a task collects before it cuts its reservoirs back to their capacity.
+BUFFER_ROWS = 200_000
+#: Parts in which the reservoirs that tasks send for one category are merged before the last merge.
+MERGE_PARTS = 16
+
+
+def reservoirs(
+    rows: DataFrame, attributes: list[str], capacity: int, seed: int = 0, joint: bool = True, incomplete: bool = False, single: bool = True
+) -> DataFrame:
     """(stratum, attr, label, id, draw): the merged bottom-``capacity`` reservoir of every category and joint cell.
 
-    The attribute of a joint cell is ``CELL`` and its label joins the labels; ``joint=False`` leaves these out. Rows with a null label
-    are in no category of that attribute, and in no joint cell unless ``incomplete``, where a null counts as ``MISSING``.
-    ``draw`` is the hash that ranks the ids.
+    The attribute of a joint cell is ``CELL`` and its label joins the labels; ``joint=False`` leaves these out, and
+    ``single=False`` the categories. Rows with a null label are in no category of that attribute, and in no joint cell
+    unless ``incomplete``, where a null counts as ``MISSING``. ``draw`` is the hash that ranks the ids. A task codes keys as
+    numbers and sorts whole buffers, so its cost does not depend on how many categories share the rows.
     """
     part = {a: F.coalesce(F.col(a), F.lit(MISSING)) if incomplete else F.col(a) for a in attributes}
     cell = F.concat(*(x for a in attributes for x in (F.lit("\x1f"), part[a])))  # null if one of them is
-    keyed = rows.withColumn("draw", F.xxhash64(F.lit(seed), F.col("id"))).withColumn(CELL, F.substring(cell, 2, 1 << 30))
+    keys = [*attributes * single, *[CELL] * joint]
+    keyed = rows.withColumn("draw", F.xxhash64(F.lit(seed), F.col("id"))).withColumn(CELL, F.substring(cell, 2, 1 << 30)).select("stratum", "id", "draw", *keys)
 
     def one_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict[tuple, dict] = {}
+        names: dict[tuple, int] = {}
+        held: list[tuple] = []
+        kept, size = 0, 0
+
+        def cut() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return _smallest(*(np.concatenate(x) for x in zip(*held)), capacity)
+
         for b in batches:
-            for attr in [*attributes, *[CELL] * joint]:
-                for key, part in b.dropna(subset=[attr]).groupby(["stratum", attr], sort=False):
-                    part = part.drop_duplicates("id").nsmallest(capacity, ["draw", "id"])
-                    old = kept.setdefault((key[0], attr, key[1]), {})
-                    old.update(zip(part["id"], part["draw"]))
-                    if len(old) > 2 * capacity:
-                        kept[key[0], attr, key[1]] = {i: d for d, i in heapq.nsmallest(capacity, ((d, i) for i, d in old.items()))}
-        for (stratum, attr, label), own in kept.items():
-            best = heapq.nsmallest(capacity, ((d, i) for i, d in own.items()))
-            yield pd.DataFrame({"stratum": stratum, "attr": attr, "label": label, "id": [i for _, i in best], "draw": [d for d, _ in best]})
+            at, strata = pd.factorize(b["stratum"])
+            draw, ident = b["draw"].to_numpy(), b["id"].to_numpy()
+            for attr in keys:
+                label, labels = pd.factorize(b[attr])
+                own = np.flatnonzero(label >= 0)
+                pair, back = np.unique(at[own] * np.int64(len(labels) + 1) + label[own], return_inverse=True)
+                code = np.array([names.setdefault((strata[x // (len(labels) + 1)], attr, labels[x % (len(labels) + 1)]), len(names)) for x in pair.tolist()], dtype=np.int64)
+                if len(own):
+                    held.append((code[back], draw[own], ident[own]))
+                    size += len(own)
+            if size > kept + BUFFER_ROWS:
+                held = [cut()]
+                kept = size = len(held[0][0])
+        if held:
+            known = np.empty(len(names), dtype=object)
+            known[:] = list(names)
+            code, draw, ident = cut()
+            for begin in range(0, len(code), 20_000):
+                part = slice(begin, begin + 20_000)
+                stratum, attr, label = zip(*known[code[part]])
+                yield pd.DataFrame({"stratum": stratum, "attr": attr, "label": label, "id": ident[part], "draw": draw[part]})
 
     kinds = dict(rows.dtypes)
-    partial = keyed.mapInPandas(one_pass, f"stratum {kinds['stratum']}, attr string, label string, id {kinds['id']}, draw bigint").distinct()
-    w = Window.partitionBy("stratum", "attr", "label").orderBy("draw", "id")
-    return partial.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= capacity).drop("_r")
+    sent = keyed.mapInPandas(one_pass, f"stratum {kinds['stratum']}, attr string, label string, id {kinds['id']}, draw bigint")
+    # A category's reservoirs, one of each task, merge in parts by id first, so that no task gets those of all tasks.
+    sent = sent.withColumn("_s", F.pmod("draw", F.lit(MERGE_PARTS)))
+    w = Window.partitionBy("stratum", "attr", "label", "_s").orderBy("draw", "id")
+    once = sent.withColumn("_d", F.lag("id").over(w).eqNullSafe(F.col("id"))).where(~F.col("_d"))
+    few = once.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= capacity)
+    whole = Window.partitionBy("stratum", "attr", "label").orderBy("draw", "id")
+    return few.withColumn("_r", F.row_number().over(whole)).where(F.col("_r") <= capacity).select("stratum", "attr", "label", "id", "draw")
 
 
 def shortfalls(rows: DataFrame, targets: DataFrame, attributes: list[str], seed: int = 0) -> DataFrame:
@@ -94,6 +143,21 @@ def _capacity(targets: DataFrame) -> int:
     return max(1, int(top[0] or 0), int(top[1] or 0))
 
 
+def _foldable(once: DataFrame, targets: DataFrame, attributes: list[str]) -> DataFrame:
+    """``once`` with ``_<attribute>``: the label if the stratum has a target for it, ``UNASKED`` if not, null if missing.
+
+    So a stratum has at most the product of its targets' categories as joint cells, whatever labels its rows have.
+    Rows of strata without targets drop out. The targets go along by broadcast up to ``MAX_TARGETS`` of them.
+    """
+    asked = targets.groupBy("stratum").agg(*(F.collect_set(F.when(F.col("attr") == a, F.col("label"))).alias(f"_{a}") for a in attributes))
+    if targets.count() <= MAX_TARGETS:
+        both = once.join(F.broadcast(asked), "stratum")
+    else:
+        both = join_unique(once, asked, ["stratum"], once.groupBy("stratum").agg(F.count(F.lit(1)).alias("_n")))
+    folded = {f"_{a}": F.when(F.col(a).isNotNull(), F.when(F.array_contains(f"_{a}", F.col(a)), F.col(a)).otherwise(UNASKED)) for a in attributes}
+    return both.withColumns(folded)
+
+
 def quota_sample(rows: DataFrame, targets: DataFrame, attributes: list[str], seed: int = 0, sweeps: int = 300, incomplete: bool = False) -> DataFrame:
     """(stratum, id, one column per attribute): up to k rows per stratum whose shares follow all targets at once.
 
@@ -101,17 +165,20 @@ def quota_sample(rows: DataFrame, targets: DataFrame, attributes: list[str], see
     in turn, never above what a cell holds. Goals reserve the minimums first and share out what is left of
     k; whole numbers by largest remainder, then single rows change cells until no change brings a category
     closer to its minimum or goal. Each cell's reservoir is then trimmed to its quota in hash order,
-    which is a uniform draw. Categories without a target get no rows unless the targets cannot fill k.
-    With ``incomplete`` a row that lacks some labels can be drawn too, for an exhausted category of the
+    which is a uniform draw. Categories without a target count as one, which gets no rows unless the targets cannot
+    fill k. With ``incomplete`` a row that lacks some labels can be drawn too, for an exhausted category of the
     labels it has or where k is not full. Empty rows or targets give an empty sample. An id whose versions
     differ in their labels counts in its most complete one, the smallest joint cell of these.
     """
     capacity = _capacity(targets)
     missing = sum((F.col(a).isNull().cast("int") for a in attributes), F.lit(0))
     once = rows.groupBy("stratum", "id").agg(F.min(F.struct(missing.alias("_m"), *attributes)).alias("_c")).select("stratum", "id", *(f"_c.{a}" for a in attributes))
-    held = reservoirs(once, attributes, capacity, seed, incomplete=incomplete).where(F.col("attr") == CELL)
+    folded = _foldable(once, targets, attributes).select("stratum", F.struct("id", *attributes).alias("id"), *(F.col(f"_{a}").alias(a) for a in attributes))
+    # An id in a reservoir carries its labels, as one string, so that the chosen rows need no second look at the table.
+    carried = folded.select("stratum", F.to_json("id", {"ignoreNullFields": "false"}).alias("id"), *attributes)
+    held = written(reservoirs(carried, attributes, capacity, seed, incomplete=incomplete, single=False))
     cells = held.groupBy("stratum", "label").agg(F.count(F.lit(1)).alias("have"))
-    kind = dict(rows.dtypes)["stratum"]
+    kind = dict(rows.dtypes)
 
     def fit(key: tuple, cell: pd.DataFrame, target: pd.DataFrame) -> pd.DataFrame:
         cell = cell.sort_values("label", ignore_index=True)
@@ -120,25 +187,37 @@ def quota_sample(rows: DataFrame, targets: DataFrame, attributes: list[str], see
         quota = cell_quotas([x.split("\x1f") for x in cell["label"]], cell["have"].to_numpy(), target, attributes, sweeps)
         return pd.DataFrame({"stratum": key[0], "label": cell["label"], "quota": quota})
 
-    # A stratum's cells are at most the product of its categories, each a row of two numbers.
-    quotas = cells.groupBy("stratum").cogroup(targets.groupBy("stratum")).applyInPandas(fit, f"stratum {kind}, label string, quota bigint")
+    # A stratum's cells are at most the product of its targets' categories, each a row of two numbers.
+    quotas = cells.groupBy("stratum").cogroup(targets.groupBy("stratum")).applyInPandas(fit, f"stratum {kind['stratum']}, label string, quota bigint")
     w = Window.partitionBy("stratum", "label").orderBy("draw", "id")
     ranked = held.withColumn("_r", F.row_number().over(w))
     chosen = ranked.join(quotas, ["stratum", "label"]).where(F.col("_r") <= F.col("quota"))
-    parts = F.split("label", "\x1f")
-    return chosen.select("stratum", "id", *(F.when(parts[i] != MISSING, parts[i]).alias(a) for i, a in enumerate(attributes)))
+    shape = ", ".join(f"`{c}` {kind[c]}" for c in ("id", *attributes))
+    return chosen.select("stratum", F.from_json("id", shape).alias("_v")).select("stratum", "_v.*")
+
 
+def sample_misses(sample: DataFrame, targets: DataFrame, attributes: list[str], rows: DataFrame | None = None, seed: int = 0) -> DataFrame:
+    """(stratum, attr, category, need, min_rows, drawn) of every target that the drawn sample leaves below its need.
 
-def sample_misses(sample: DataFrame, targets: DataFrame, attributes: list[str]) -> DataFrame:
-    """(stratum, attr, category, need, min_rows, drawn) of every target that the drawn sample leaves below its need."""
+    With the ``rows`` it was drawn from also ``available``, the distinct ids of the category as far as the need goes, and
+    ``reason``: 'supply' where all of them are drawn, 'rounding' where less than one row is missing, 'minimums' where the
+    attribute's minimums exceed k together, 'shares' where its needs do, else 'margins': the needs of different attributes
+    exclude each other.
+    """
     labels = F.array(*(F.struct(F.lit(a).alias("attr"), F.col(a).alias("label")) for a in attributes))
     drawn = sample.select("stratum", F.inline(labels)).groupBy("stratum", "attr", "label").agg(F.count(F.lit(1)).alias("drawn"))
-    return (
-        targets.join(drawn, ["stratum", "attr", "label"], "left")
-        .withColumn("drawn", F.coalesce("drawn", F.lit(0).cast("bigint")))
-        .where(F.col("drawn") < F.col("need"))
-        .select("stratum", "attr", "category", "need", "min_rows", "drawn")
-    )
+    found = targets.join(drawn, ["stratum", "attr", "label"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0).cast("bigint")))
+    named = ["stratum", "attr", "category", "need", "min_rows", "drawn"]
+    if rows is None:
+        return found.where(F.col("drawn") < F.col("need")).select(*named)
+    have = reservoirs(rows, attributes, _capacity(targets), seed, joint=False).groupBy("stratum", "attr", "label").agg(F.count(F.lit(1)).alias("available"))
+    whole = Window.partitionBy("stratum", "attr")
+    least = F.least(F.coalesce("min_rows", F.lit(0)).cast("double"), F.col("available"))
+    found = found.join(have, ["stratum", "attr", "label"], "left").withColumn("available", F.coalesce("available", F.lit(0).cast("bigint")))
+    found = found.withColumn("_min", F.sum(least).over(whole)).withColumn("_need", F.sum(F.least("need", F.col("available").cast("double"))).over(whole))
+    reason = F.when(F.col("drawn") >= F.col("available"), "supply").when(F.col("need") - F.col("drawn") < 1, "rounding")
+    reason = reason.when(F.col("_min") > F.col("k"), "minimums").when(F.col("_need") > F.col("k") + 1e-6, "shares").otherwise("margins")
+    return found.withColumn("reason", reason).where(F.col("drawn") < F.col("need")).select(*named, "available", "reason")
 
 
 def goals(share: np.ndarray, least: np.ndarray, have: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

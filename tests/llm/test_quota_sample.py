@@ -2,9 +2,11 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from skewloom.llm import quota_sample as module
 from skewloom.llm.common import plain
-from skewloom.llm.quota_sample import goals, labelled_rows, quota_sample, sample_misses, shortfalls, target_table
+from skewloom.llm.quota_sample import goals, labelled_rows, quota_sample, reservoirs, sample_misses, shortfalls, target_table
 
 ATTRS = ["size", "kind", "words"]
 
@@ -105,3 +107,48 @@ def test_rows_with_missing_labels_fill_exhausted_categories_and_k(spark):
     every = quota_sample(d, targets(spark, [(0, "size", "a", 1.0, 60, 0)]), ATTRS, incomplete=True).collect()
     assert len(every) == 44
     assert {r["id"] for r in quota_sample(d, targets(spark, wish), ATTRS).collect()} >= {0, 1, 2, 103}
+
+
+def test_every_miss_has_a_reason(spark):
+    draw = random.Random(8)
+    rows = [(0, i, "a" if i < 4 else draw.choice("bc"), "x" if i % 2 else "y", 50 if i % 2 else 100, "t", "", "") for i in range(400)]
+    d = labelled_rows(pool(spark, rows), "shard", "row_id", "text", ATTRS, "words")
+    supply = targets(spark, [(0, "size", "a", 0.2, 40, 0), (0, "size", "b", 0.4, 40, 0), (0, "size", "c", 0.4, 40, 0)])
+    got = {(r["category"], r["available"], r["reason"]) for r in sample_misses(quota_sample(d, supply, ATTRS), supply, ATTRS, d).collect()}
+    assert got == {("a", 4, "supply")}
+    minimums = targets(spark, [(0, "size", "b", 0.5, 40, 30), (0, "size", "c", 0.5, 40, 30)])
+    assert {r["reason"] for r in sample_misses(quota_sample(d, minimums, ATTRS), minimums, ATTRS, d).collect()} == {"minimums"}
+    shares = targets(spark, [(0, "size", "b", 0.9, 40, 0), (0, "size", "c", 0.1, 40, 30)])
+    assert {(r["category"], r["reason"]) for r in sample_misses(quota_sample(d, shares, ATTRS), shares, ATTRS, d).collect()} == {("b", "shares")}
+    # Every x has 50 words and every y 100, so these two attributes cannot both be met.
+    margins = targets(spark, [(0, "kind", "x", 0.9, 40, 0), (0, "kind", "y", 0.1, 40, 0), (0, "words", "50", 0.1, 40, 0), (0, "words", "100", 0.9, 40, 0)])
+    got = {r["reason"] for r in sample_misses(quota_sample(d, margins, ATTRS), margins, ATTRS, d).collect()}
+    assert got == {"margins"}
+
+
+def test_labels_without_a_target_share_a_cell_and_keep_their_names(spark, monkeypatch):
+    rows = [(0, i, f"odd {i}", "x" if i % 3 else "y", 50, "t", "", "") for i in range(300)] + [(7, 900, "a", "x", 50, "t", "", "")]
+    d = labelled_rows(pool(spark, rows), "shard", "row_id", "text", ATTRS, "words")
+    wish = targets(spark, [(0, "kind", "x", 0.5, 30, 0), (0, "kind", "y", 0.5, 30, 0)])
+    got = {r["id"]: (r["size"], r["kind"]) for r in quota_sample(d, wish, ATTRS).collect()}
+    assert len(got) == 30 and Counter(k for _, k in got.values()) == {"x": 15, "y": 15}
+    assert all(size == f"odd{i}" for i, (size, _) in got.items())
+    monkeypatch.setattr(module, "MAX_TARGETS", 0)
+    assert {r["id"] for r in quota_sample(d, wish, ATTRS).collect()} == set(got)
+
+
+def test_cut_reservoirs_equal_a_full_sort(spark, monkeypatch):
+    draw = random.Random(4)
+    rows = [(i % 2, draw.randrange(2000), draw.choice("ab"), draw.choice(["x", "y", None]), 50, "t", "", "") for i in range(5000)]
+    d = labelled_rows(pool(spark, rows).repartition(5), "shard", "row_id", "text", ATTRS, "words")
+    monkeypatch.setattr(module, "BUFFER_ROWS", 300)
+    got = {}
+    for r in reservoirs(d, ATTRS, 20, incomplete=True).collect():
+        got.setdefault((r["stratum"], r["attr"], r["label"]), set()).add((r["draw"], r["id"]))
+    want = {}
+    hashed = {r["id"]: r["h"] for r in spark.range(2000).select("id", F.xxhash64(F.lit(0), F.col("id")).alias("h")).collect()}
+    for shard, i, size, kind, words, *_ in rows:
+        for key in ((shard, "size", size), (shard, "kind", kind), (shard, "words", str(words)), (shard, module.CELL, "\x1f".join([size, kind or module.MISSING, str(words)]))):
+            if key[2] is not None:
+                want.setdefault(key, set()).add((hashed[i], i))
+    assert got == {k: set(sorted(v)[:20]) for k, v in want.items()}
