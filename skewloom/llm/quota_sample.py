@@ -188,7 +188,11 @@ def quota_sample(rows: DataFrame, targets: DataFrame, attributes: list[str], see
         return pd.DataFrame({"stratum": key[0], "label": cell["label"], "quota": quota})
 
     # A stratum's cells are at most the product of its targets' categories, each a row of two numbers.
-    quotas = cells.groupBy("stratum").cogroup(targets.groupBy("stratum")).applyInPandas(fit, f"stratum {kind['stratum']}, label string, quota bigint")
+    # Fitting costs far more than a cell's bytes suggest, so strata are spread over all cores.
+    spark = rows.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cells, asked = (d.repartition(tasks, "stratum") for d in (cells, targets))
+    quotas = cells.groupBy("stratum").cogroup(asked.groupBy("stratum")).applyInPandas(fit, f"stratum {kind['stratum']}, label string, quota bigint")
     w = Window.partitionBy("stratum", "label").orderBy("draw", "id")
     ranked = held.withColumn("_r", F.row_number().over(w))
     chosen = ranked.join(quotas, ["stratum", "label"]).where(F.col("_r") <= F.col("quota"))
