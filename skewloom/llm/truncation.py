@@ -16,12 +16,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import uniform
+from ..storage import forget, written
+from .common import join_unique, uniform
 
 #: Size of the hashed feature space.
 BUCKETS = 1 << 16
 #: Records that the classifier is fitted on; everything else reads all records.
 FIT_RECORDS = 12_000
+#: Sources whose limits go along with a function: at most a few hundred numbers each.
+MAX_SOURCES = 10_000
 #: Sampled values that must have a feature before it gets a weight.
 LEAST_SEEN = 4
 #: Endings by which interfaces mark a shortened text.
@@ -55,18 +58,23 @@ def heaped_lengths(lengths: np.ndarray, counts: np.ndarray) -> list[int]:
 
 
 def source_limits(docs: DataFrame, text_col: str, source_col: str) -> DataFrame:
-    """(source, limits_chars, limits_bytes): the lengths at which each source's values heap up, in ascending order."""
+    """(source, limits_chars, limits_bytes, records): the lengths at which each source's values heap up, in ascending order.
+
+    Every source has a row; ``records`` counts its values that are neither null nor empty.
+    """
     kind = dict(docs.dtypes)[source_col]
-    both = F.array(F.struct(F.lit("c").alias("unit"), F.length(text_col).alias("n")), F.struct(F.lit("b").alias("unit"), F.octet_length(text_col).alias("n")))
-    sized = docs.where(F.length(text_col) > 0).select(F.col(source_col).alias("source"), F.inline(both))
+    size = lambda f: F.coalesce(f(text_col), F.lit(0)).alias("n")
+    both = F.array(F.struct(F.lit("c").alias("unit"), size(F.length)), F.struct(F.lit("b").alias("unit"), size(F.octet_length)))
+    sized = docs.select(F.col(source_col).alias("source"), F.inline(both))
 
     def run(key: tuple, h: pd.DataFrame) -> pd.DataFrame:  # a row per distinct length of the source
-        h = h.sort_values("n")
-        found = {u: heaped_lengths(x["n"].to_numpy(), x["rows"].to_numpy()) for u, x in h.groupby("unit")}
-        return pd.DataFrame({"source": [key[0]], "limits_chars": [found["c"]], "limits_bytes": [found["b"]]})
+        h = h[h["n"] > 0].sort_values("n")
+        chars, size = (h[h["unit"] == u] for u in "cb")
+        found = [heaped_lengths(x["n"].to_numpy(), x["rows"].to_numpy()) for x in (chars, size)]
+        return pd.DataFrame({"source": [key[0]], "limits_chars": found[:1], "limits_bytes": found[1:], "records": [int(chars["rows"].sum())]})
 
     histogram = sized.groupBy("source", "unit", "n").agg(F.count(F.lit(1)).alias("rows"))
-    return histogram.groupBy("source").applyInPandas(run, f"source {kind}, limits_chars array<int>, limits_bytes array<int>")
+    return histogram.groupBy("source").applyInPandas(run, f"source {kind}, limits_chars array<int>, limits_bytes array<int>, records bigint")
 
 
 def length_limits(docs: DataFrame, text_col: str, source_col: str) -> DataFrame:
@@ -155,39 +163,67 @@ def cut_short(text: str, draw: np.random.Generator) -> str | None:
     return None
 
 
-def _prepared(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    limits = source_limits(docs, text_col, source_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
-    joined = rows.join(limits.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left")
-    return joined.select("id", "source", "text", "limits_chars", "limits_bytes")
+class _Prepared:
+    """The records with their sources' limits, which are found in one scan.
 
+    Up to ``MAX_SOURCES`` sources' limits go along with the functions that read the records; those of more sources are
+    joined to them, where a source with very many records takes the other way of ``join_unique``.
+    """
 
-def fit(prepared: DataFrame, records: int = FIT_RECORDS, seed: int = 0) -> np.ndarray:
-    """Weights fitted on about ``records`` records drawn by hash, as they are and cut short.
-
-    Values close to a length limit are no examples of whole ones. Others that were already cut still
-    count as whole at first: each half of the sample is judged by a fit on the other half, and what
-    that finds cut is left out of the final fit.
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, source_col: str):
+        limits = written(source_limits(docs, text_col, source_col))
+        self.rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+        self.total = limits.agg(F.sum("records")).first()[0] or 0
+        few = limits.limit(MAX_SOURCES + 1).collect()
+        self.known = {r["source"]: (r["limits_chars"], r["limits_bytes"]) for r in few} if len(few) <= MAX_SOURCES else None
+        if self.known is not None:
+            forget(limits)
+        else:
+            key = F.to_json(F.struct("source"))  # null is a source too
+            named = limits.select(key.alias("_k"), "limits_chars", "limits_bytes", F.col("records").alias("_n"))
+            self.rows = join_unique(self.rows.withColumn("_k", key), named.drop("_n"), ["_k"], named).drop("_k")
+
+    def reader(self):
+        """A function from a batch to its (id, text, source, limits of characters, limits of bytes)."""
+        known = self.known
+
+        def read(b: pd.DataFrame) -> Iterator[tuple]:
+            if known is None:
+                return zip(b["id"], b["text"], b["source"], b["limits_chars"], b["limits_bytes"])
+            source = b["source"].astype(object).where(b["source"].notna(), None)
+            return ((i, text, s, *known[s]) for i, text, s in zip(b["id"], b["text"], source))
+
+        return read
+
+
+def fit(prepared: _Prepared, records: int = FIT_RECORDS, seed: int = 0) -> np.ndarray:
+    """Weights fitted on the about ``records`` different records of the smallest hash, as they are and cut short.
+
+    At most 2 * ``records`` examples come to the driver; which ones does not depend on the order of tasks. Values close to a
+    length limit are no examples of whole ones. Others that were already cut still count as whole at first: each half of the
+    sample is judged by a fit on the other half, and what that finds cut is left out of the final fit.
     """
-    total = prepared.where("text is not null").count()
-    share = min(1.0, records / max(total, 1))
-    drawn = prepared.where("trim(text) <> ''").where(uniform(F.lit(seed), F.col("id"), F.col("text")) < share)
+    share = min(1.0, records / max(prepared.total, 1) * (1 + 6 / records**0.5))
+    u = uniform(F.lit(seed), F.col("id"), F.col("text"))
+    drawn = prepared.rows.where("trim(text) <> ''").where(u < share).withColumn("u", u)
+    read = prepared.reader()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for r in b.itertuples(index=False):
-                fold = zlib.crc32(repr(r.id).encode()) % 2
-                draw = np.random.default_rng([seed, zlib.crc32(r.text.encode())])
-                gaps = (gap_to(len(r.text), r.limits_chars), gap_to(len(r.text.encode()), r.limits_bytes))
+            for u, (_, text, _, chars, size) in zip(b["u"], read(b)):
+                fold = int(u * (1 << 52)) % 2  # by record, whatever the type that a batch gives its id
+                draw = np.random.default_rng([seed, zlib.crc32(text.encode())])
+                gaps = (gap_to(len(text), chars), gap_to(len(text.encode()), size))
                 if set(gaps) <= {"far", "none"}:
-                    out.append((0, fold, features(r.text, *_supposed(gaps, draw, 0.15))))
-                if (part := cut_short(r.text, draw)) is not None:
+                    out.append((u, 0, fold, features(text, *_supposed(gaps, draw, 0.15))))
+                if (part := cut_short(text, draw)) is not None:
                     away = tuple("none" if g == "none" else "far" for g in gaps)
-                    out.append((1, fold, features(part, *_supposed(away, draw, 0.5))))
-            yield pd.DataFrame(out, columns=["cut", "fold", "at"])
+                    out.append((u, 1, fold, features(part, *_supposed(away, draw, 0.5))))
+            yield pd.DataFrame(out, columns=["u", "cut", "fold", "at"])
 
-    sample = drawn.mapInPandas(run, "cut int, fold int, at array<int>").limit(4 * records).toPandas()
+    once = drawn.mapInPandas(run, "u double, cut int, fold int, at array<int>").groupBy("u", "cut").agg(F.min(F.struct("fold", "at")).alias("x"))
+    sample = once.orderBy("u", "cut").limit(2 * records).select("cut", "x.fold", "x.at").toPandas()
     if not len(sample) or sample["cut"].nunique() < 2:
         return np.zeros(BUCKETS)
     key = np.array([zlib.crc32(np.asarray(a).tobytes()) for a in sample["at"]])
@@ -237,17 +273,17 @@ def logistic(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, penalty: float
 def truncation_scores(docs: DataFrame, id_col: str, text_col: str, source_col: str, records: int = FIT_RECORDS, seed: int = 0) -> DataFrame:
     """(id, source, score, truncated) of every record; ``score`` is the believed probability that the value was cut.
 
-    Null and blank values were not cut: score 0. Where nothing can be learned, as in an empty table or
+    Three scans: one for the sources' limits, one for the sample, one to score. Null and blank values were not cut: score 0. Where nothing can be learned, as in an empty table or
     one of short values only, every score is 0.5 and no value counts as cut. Repeated rows are scored as often as they occur.
     """
-    prepared = _prepared(docs, id_col, text_col, source_col)
+    prepared = _Prepared(docs, id_col, text_col, source_col)
     weights = fit(prepared, records, seed).astype(np.float32)
-    kind = dict(docs.dtypes)
+    kind, read = dict(docs.dtypes), prepared.reader()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for text, chars, size in zip(b["text"], b["limits_chars"], b["limits_bytes"]):
+            for _, text, _, chars, size in read(b):
                 if text is None or not text.strip():
                     out.append(0.0)
                 else:
@@ -255,7 +291,7 @@ def truncation_scores(docs: DataFrame, id_col: str, text_col: str, source_col: s
                     out.append(float(1 / (1 + np.exp(-np.clip(weights[at].sum(), -30, 30)))))
             yield pd.DataFrame({"id": b["id"], "source": b["source"], "score": out})
 
-    scored = prepared.mapInPandas(run, f"id {kind[id_col]}, source {kind[source_col]}, score double")
+    scored = prepared.rows.mapInPandas(run, f"id {kind[id_col]}, source {kind[source_col]}, score double")
     return scored.withColumn("truncated", F.col("score") > 0.5)
 
 

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from skewloom.llm import truncation as module
 from skewloom.llm.truncation import cut_short, features, gap_feature, gap_to, length_limits, line_kind, source_limits, truncation_rates, truncation_scores
 
 NOUNS = ["river", "mill", "bridge", "market", "tower", "harbour", "library", "orchard"]
@@ -95,3 +96,22 @@ def test_open_markup_is_seen_over_the_whole_last_line():
     for opened, closed in (("(a b", "(a) b"), ("'''a b", "'''a''' b"), ("<ref a b", "<ref> a b")):
         assert features(long + opened + " of the old tower and the long bridge" * 9, "none", "none") != features(long + closed + " of the old tower and the long bridge" * 9, "none", "none")
     assert features("(a " + long + "b) end", "none", "none") == features("a " + long + "b) end", "none", "none")
+
+
+def test_many_sources_are_joined_and_score_the_same(spark, monkeypatch):
+    rows, _ = corpus(6, 250)
+    rows += [(950, rows[0][1], None, 0.1), (951, None, "blank only", 0.1), (952, "", "blank only", 0.1)]
+    key = lambda r: (r["id"], r["source"] or "", round(r["score"], 4))
+    one = sorted(map(key, truncation_scores(frame(spark, rows), "doc_id", "text", "source").collect()))
+    monkeypatch.setattr(module, "MAX_SOURCES", 1)
+    assert sorted(map(key, truncation_scores(frame(spark, rows), "doc_id", "text", "source").collect())) == one and len(one) == len(rows)
+
+
+def test_the_sample_is_bounded_however_often_a_record_is_repeated(spark):
+    rows, _ = corpus(7, 120)
+    prepared = module._Prepared(frame(spark, rows + rows[:1] * 4000), "doc_id", "text", "source")
+    assert prepared.total == 4120
+    got = module.fit(prepared, 4000)
+    few = module._Prepared(frame(spark, rows), "doc_id", "text", "source")
+    few.known = prepared.known
+    assert (got != 0).any() and np.allclose(got, module.fit(few, 4000), atol=1e-9)
