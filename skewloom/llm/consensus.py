@@ -6,8 +6,9 @@ annotator's message along an edge is the log-likelihood ratio of what they said;
 back is its belief in each class without that annotator's own message. Rounds alternate until the
 rates are stable.
 
-Each item and its edges are one packed row (an item has at most one edge per annotator), so a round
-is one pass over the packed rows and an aggregate of partial sums, and shuffles only the rates.
+Annotators and classes are coded as numbers and whole blocks of items with their edges are one row, so a round is one
+pass over flat arrays and an aggregate of partial sums, and shuffles only the rates. Where the rates are too many for
+every task, edges are rows, and rates and item scores are tables joined to them.
 """
 
 from __future__ import annotations
@@ -17,14 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import bound
 from ..storage import forget, written
-from .common import plain
+from .common import join_unique, plain
 
-#: Rates that may be held by every task: annotators times classes.
-MAX_RATES = 2_000_000
+#: Rates that may be held by every task and the driver: annotators times classes, a few arrays of 1.6 MB.
+MAX_RATES = 200_000
 #: Weight, in labels, of an annotator's overall accuracy in each of their rates.
 PRIOR_LABELS = 4.0
 
@@ -55,18 +59,16 @@ def pack(votes: DataFrame) -> DataFrame:
     return packed.select("attr", "item", F.col("_e.annotator").alias("who"), F.col("_e.option").alias("what"), F.col("_e.vote").alias("vote"))
 
 
-def beliefs(option_at: np.ndarray, item_at: np.ndarray, items: int, says: np.ndarray, silent: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def beliefs(option_at: np.ndarray, begin: np.ndarray, size: np.ndarray, says: np.ndarray, silent: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Item beliefs [items, classes] and item-to-annotator messages [edges, classes].
 
-    ``says`` and ``silent`` hold for each edge the log-likelihood ratios of a class that is named and
-    of one that is not.
+    ``begin`` and ``size`` say which edges are an item's. ``says`` holds for each edge the log-likelihood ratio of the class
+    that it names, ``silent`` those of the classes if they are not named.
     """
-    edge = np.arange(len(option_at))
     message = silent.copy()
-    message[edge, option_at] = says[edge, option_at]
-    score = np.tile(np.log(prior) - np.log1p(-prior), (items, 1))
-    np.add.at(score, item_at, message)
-    return _share(score), _share(score[item_at] - message)
+    message[np.arange(len(option_at)), option_at] = says
+    score = np.add.reduceat(message, begin, axis=0) + (np.log(prior) - np.log1p(-prior))
+    return _share(score), _share(np.repeat(score, size, axis=0) - message)
 
 
 def _share(score: np.ndarray) -> np.ndarray:
@@ -110,19 +112,24 @@ def consensus(votes: DataFrame, extra: DataFrame | None = None, max_rounds: int
     votes = votes.groupBy("item", "annotator", "attr").agg(F.min("option").alias("option"), F.max("vote").alias("vote"))
     packed = written(pack(votes))
     edges = packed.select("attr", F.explode(F.arrays_zip("who", "what")).alias("v")).select("attr", F.col("v.who").alias("annotator"), F.col("v.what").alias("option"))
-    counts = edges.groupBy("attr", "annotator", "option").count()
-    classes = {attr: sorted(own) for attr, own in _grouped(edges.select("attr", "option").distinct().collect()).items()}
-    names = edges.select("annotator").distinct()
-    if names.count() * max(1, sum(map(len, classes.values()))) > MAX_RATES:
+    counts = written(edges.groupBy("attr", "annotator", "option").count())
+    few = counts.limit(MAX_RATES + 1).toPandas()
+    classes = _grouped((few if len(few) <= MAX_RATES else counts.select("attr", "option").distinct().toPandas())[["attr", "option"]])
+    if len(few) > MAX_RATES or few["annotator"].nunique() * sum(map(len, classes.values())) > MAX_RATES:
         return _consensus_by_join(packed, counts, classes, max_rounds, tolerance)
-    at = pd.Index(sorted(r[0] for r in names.collect()))
+    forget(counts)
+    at = pd.Index(sorted(few["annotator"].unique()))
     named = {attr: np.zeros((len(at), len(own))) for attr, own in classes.items()}
-    for r in counts.collect():
-        named[r["attr"]][at.get_loc(r["annotator"]), classes[r["attr"]].index(r["option"])] = r["count"]
+    for attr, part in few.groupby("attr"):
+        named[attr][at.get_indexer(part["annotator"]), np.searchsorted(classes[attr], part["option"].to_numpy())] = part["count"]
+    kinds = {c: packed.schema[c].dataType for c in ("item", "who", "what")}
+    item_kind = kinds["item"].simpleString()
+    blocks = written(packed.mapInPandas(_coded(classes, at), f"attr string, item array<{item_kind}>, size array<int>, who array<int>, what array<int>, vote array<boolean>"))
+    forget(packed)
     state = dict.fromkeys(classes)
 
     for _ in range(max_rounds):
-        sums = packed.mapInPandas(_partial_sums(state, classes, at), "attr string, at int, right array<double>, belief array<double>, prior array<double>")
+        sums = blocks.mapInPandas(_partial_sums(state, classes, at), "attr string, at int, right array<double>, belief array<double>, prior array<double>")
         new, moved = {}, 0.0
         totals = _summed(sums)
         for attr, own in classes.items():
@@ -142,45 +149,105 @@ def consensus(votes: DataFrame, extra: DataFrame | None = None, max_rounds: int
     else:
         _not_converged(max_rounds, moved)
 
-    option_kind, item_kind, name_kind = edges.schema["option"].dataType.simpleString(), packed.schema["item"].dataType.simpleString(), names.schema["annotator"].dataType.simpleString()
-    items = packed.mapInPandas(_decide(state, classes, at), f"attr string, item {item_kind}, option {option_kind}, confidence double, agreement double, annotators int, options int")
-    judged = packed.mapInPandas(_judge(state, classes, at), f"attr string, annotator {name_kind}, labels bigint, right double")
+    option_kind, name_kind = (kinds[c].elementType.simpleString() for c in ("what", "who"))
+    items = blocks.mapInPandas(_decide(state, classes), f"attr string, item {item_kind}, option {option_kind}, confidence double, agreement double, annotators int, options int")
+    judged = blocks.mapInPandas(_judge(state, classes, at), f"attr string, annotator {name_kind}, labels bigint, right double")
     total = judged.groupBy("attr", "annotator").agg(F.sum("labels").alias("labels"), F.sum("right").alias("right"))
     return items, total.select("attr", "annotator", "labels", ((F.col("right") + 1) / (F.col("labels") + 2)).alias("reliability"))
 
 
 def _consensus_by_join(packed: DataFrame, counts: DataFrame, classes: dict, max_rounds: int, tolerance: float) -> tuple[DataFrame, DataFrame]:
-    """The same rounds for any number of annotators: their rates are a table, written each round and joined to the edges."""
-    kinds = {c: packed.schema[c].dataType.elementType.simpleString() for c in ("who", "what")}
-    item_kind = packed.schema["item"].dataType.simpleString()
-    place = packed.sparkSession.createDataFrame([(a, o, k) for a, own in classes.items() for k, o in enumerate(own)], f"attr string, option {kinds['what']}, pos int")
-    named = counts.join(F.broadcast(place), ["attr", "option"]).select("attr", "annotator", "pos", F.col("count").alias("named"))  # a row per class
-    rates, prior, before = None, {}, None
+    """The same rounds for any number of annotators and of edges an item: a row per edge, to which the annotators' rates and
+    the items' scores are joined as tables, written each round. Sums are combined before they are shuffled, and annotators
+    or items with very many edges take the other way of ``join_unique``."""
+    kind = packed.schema["what"].dataType.elementType.simpleString()
+    rows = [(a, o, k, len(own)) for a, own in classes.items() for k, o in enumerate(own)]
+    place = F.broadcast(packed.sparkSession.createDataFrame(rows, f"attr string, option {kind}, pos int, n int"))  # a row per class
+    every = packed.select("attr", "item", F.explode(F.arrays_zip("who", "what", "vote")).alias("e"))
+    every = every.select("attr", "item", F.col("e.who").alias("annotator"), F.col("e.what").alias("option"), "e.vote")
+    edges = written(every.join(place, ["attr", "option"]).drop("option"))
+    named = counts.join(place, ["attr", "option"]).select("attr", "annotator", "pos", F.col("count").alias("named"))
+    many = written(counts.groupBy("attr", "annotator").agg(F.sum("count").alias("_n")))
+    rates, prior, scores, before = None, {}, None, (None, None)
     for _ in range(max_rounds):
-        fed = _fed(packed, rates)
-        sums = written(fed.mapInPandas(_edge_sums(classes, prior), f"attr string, annotator {kinds['who']}, right array<double>, belief array<double>, prior array<double>"))
-        cell = sums.select("attr", "annotator", F.posexplode(F.arrays_zip("right", "belief", "prior")).alias("pos", "x"))
-        total = cell.groupBy("attr", "annotator", "pos").agg(F.sum("x.right").alias("right"), F.sum("x.belief").alias("belief"), F.sum("x.prior").alias("prior"))
-        found: dict = {}
-        for r in total.where("annotator is null").collect():  # a number per class
-            found.setdefault(r["attr"], np.zeros(len(classes[r["attr"]])))[r["pos"]] = r["prior"]
-        prior = {a: np.clip(p / max(p.sum(), 1e-9), 1e-6, 1 - 1e-6) for a, p in found.items()}
-        new = written(_rate_table(total.where("annotator is not null").drop("prior"), named))
+        sent = _sent(edges, rates, many)
+        scores = written(_scores(sent, rates is not None, prior))
+        fed = _fed(sent, scores, rates is not None)
+        at = lambda c, k: F.transform(c, lambda x, i: F.when(i == k, x).otherwise(0.0))
+        total = fed.groupBy("attr", "annotator").agg(_total(at(F.col("message"), F.col("pos"))).alias("right"), _total(F.col("message")).alias("belief"))
+        cell = total.select("attr", "annotator", F.posexplode(F.arrays_zip("right", "belief")).alias("pos", "x"))
+        new = written(_rate_table(cell.select("attr", "annotator", "pos", "x.right", "x.belief"), named))
+        mass = scores.groupBy("attr").agg(_total(F.col("belief")).alias("p")).collect()  # a number per class
+        prior = {r["attr"]: np.clip(np.array(r["p"]) / max(sum(r["p"]), 1e-9), 1e-6, 1 - 1e-6).tolist() for r in mass}
         moved = 1.0 if rates is None else _moved(new, rates)
-        forget(sums)
-        forget(before)
-        before, rates = rates, new
+        for old in before:
+            forget(old)
+        before, rates = (rates, scores), new
         if moved < tolerance:
             break
     else:
         _not_converged(max_rounds, moved)
-    fed = _fed(packed, rates)
-    items = fed.mapInPandas(_edge_items(classes, prior), f"attr string, item {item_kind}, option {kinds['what']}, confidence double, agreement double, annotators int, options int")
-    judged = fed.mapInPandas(_edge_judge(classes, prior), f"attr string, annotator {kinds['who']}, right double").groupBy("attr", "annotator")
-    total = judged.agg(F.count(F.lit(1)).alias("labels"), F.sum("right").alias("right"))
+    sent = _sent(edges, rates, many)
+    scores = written(_scores(sent, True, prior))
+    fed = _fed(sent, scores, True)
+    options = F.broadcast(packed.sparkSession.createDataFrame([(a, list(own)) for a, own in classes.items()], f"attr string, _o array<{kind}>"))  # a row per attribute
+    confidence = F.array_max("belief")
+    best = F.array_position("belief", confidence).cast("int") - 1
+    votes = F.aggregate("votes", F.lit(0.0), lambda s, x: s + x)
+    items = scores.where("array_max(votes) > 0").join(options, "attr").select(
+        "attr", "item", F.get("_o", best).alias("option"), confidence.alias("confidence"), (F.get("votes", best) / votes).alias("agreement"),
+        votes.cast("int").alias("annotators"), F.size(F.filter("votes", lambda x: x > 0)).alias("options"),
+    )
+    total = fed.groupBy("attr", "annotator").agg(F.count(F.lit(1)).alias("labels"), F.sum(F.get("belief", F.col("pos"))).alias("right"))
     return items, total.select("attr", "annotator", "labels", ((F.col("right") + 1) / (F.col("labels") + 2)).alias("reliability"))
 
 
+def _total(array: Column) -> Column:
+    """The sum of arrays by position, combined before the shuffle."""
+    return vector_to_array(Summarizer.sum(array_to_vector(array)))
+
+
+def _softmax(score: Column) -> Column:
+    """Shares in proportion to the exponentials."""
+    powers = bound(F.array_max(score), lambda m: F.transform(score, lambda x: F.exp(x - m)))
+    return _part(powers)
+
+
+def _part(array: Column) -> Column:
+    return bound(array, lambda v: bound(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), lambda t: F.transform(v, lambda x: x / t)))
+
+
+def _sent(edges: DataFrame, rates: DataFrame | None, many: DataFrame) -> DataFrame:
+    """Edges with the annotator's message ``said``: log-likelihood ratios, or in the first round the vote itself."""
+    if rates is None:
+        return edges.withColumn("said", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.when(i == F.col("pos"), 1.0).otherwise(0.0)))
+    rated = join_unique(edges, rates.select("attr", "annotator", "says", "silent"), ["attr", "annotator"], many)
+    said = F.transform("silent", lambda x, i: F.when(i == F.col("pos"), F.get("says", F.col("pos"))).otherwise(x))
+    return rated.withColumn("said", said).drop("says", "silent")
+
+
+def _scores(sent: DataFrame, rated: bool, prior: dict) -> DataFrame:
+    """(attr, item, score, belief, votes, _n): each item's sum of messages, its beliefs, the votes per class and its edges."""
+    own = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.when((i == F.col("pos")) & F.col("vote"), 1.0).otherwise(0.0))
+    sums = sent.groupBy("attr", "item").agg(_total(F.col("said")).alias("score"), _total(own).alias("votes"), F.count(F.lit(1)).alias("_n"))
+    if not rated:
+        return sums.withColumn("belief", _part(F.col("score")))
+    odds = [(a, [float(x) for x in np.log(p) - np.log1p(-np.array(p))]) for a, p in prior.items()]
+    known = F.broadcast(sent.sparkSession.createDataFrame(odds, "attr string, _p array<double>"))  # a row per attribute
+    sums = sums.join(known, "attr").withColumn("score", F.zip_with("score", "_p", lambda x, y: x + y)).drop("_p")
+    return sums.withColumn("belief", _softmax(F.col("score")))
+
+
+def _fed(sent: DataFrame, scores: DataFrame, rated: bool) -> DataFrame:
+    """Edges with the item's ``belief`` and its ``message``, the belief without what this annotator sent."""
+    both = join_unique(sent, scores.select("attr", "item", "score", "belief"), ["attr", "item"], scores)
+    rest = F.zip_with("score", "said", lambda x, y: x - y)
+    if rated:
+        return both.withColumn("message", _softmax(rest))
+    alone = F.array_max(rest) <= 0  # the only vote counts, as there is no other
+    return both.withColumn("message", F.when(alone, F.col("belief")).otherwise(_part(rest)))
+
+
 def _moved(new: DataFrame, old: DataFrame) -> float:
     """The greatest movement of a hit or false rate."""
     pairs = new.join(old.select("attr", "annotator", F.col("hit").alias("_h"), F.col("false").alias("_f")), ["attr", "annotator"])
@@ -192,16 +259,6 @@ def _not_converged(rounds: int, moved: float) -> None:
     warnings.warn(f"consensus: a rate still moves by {moved:.4f} after max_rounds = {rounds}", RuntimeWarning, stacklevel=3)
 
 
-def _fed(packed: DataFrame, rates: DataFrame | None) -> DataFrame:
-    """Packed rows with the log-likelihood ratios of each edge's annotator."""
-    if rates is None:
-        return packed.select("*", F.lit(None).cast("array<array<double>>").alias("says"), F.lit(None).cast("array<array<double>>").alias("silent"))
-    edges = packed.select("attr", "item", F.explode(F.arrays_zip("who", "what", "vote")).alias("e")).select("attr", "item", F.col("e.who").alias("annotator"), "e.what", "e.vote")
-    rated = edges.join(rates.select("attr", "annotator", "says", "silent"), ["attr", "annotator"])
-    back = rated.groupBy("attr", "item").agg(F.sort_array(F.collect_list(F.struct("annotator", "what", "vote", "says", "silent"))).alias("e"))
-    return back.select("attr", "item", F.col("e.annotator").alias("who"), *(F.col(f"e.{c}").alias(c) for c in ("what", "vote", "says", "silent")))
-
-
 def _rate_table(total: DataFrame, named: DataFrame) -> DataFrame:
     """(attr, annotator, accuracy, says, silent, hit, false) by the formulas of ``Rates``."""
     own = Window.partitionBy("attr", "annotator")
@@ -217,55 +274,9 @@ def _rate_table(total: DataFrame, named: DataFrame) -> DataFrame:
     return out.select("attr", "annotator", "accuracy", F.col("v.says").alias("says"), F.col("v.silent").alias("silent"), F.col("v.h").alias("hit"), F.col("v.f").alias("false"))
 
 
-def _edge_parts(batches: Iterator[pd.DataFrame], classes: dict, prior: dict):
-    for b in batches:
-        for attr, part in b.groupby("attr", sort=False):
-            own = classes[attr]
-            what = np.searchsorted(own, np.concatenate(part["what"].to_numpy()))
-            who = np.concatenate(part["who"].to_numpy())
-            item_at = np.repeat(np.arange(len(part)), part["who"].map(len).to_numpy())
-            if part["says"].iloc[0] is None:
-                belief, message = _vote_shares(item_at, what, len(part), len(own))
-            else:
-                says, silent = (np.array([x for row in part[c] for x in row], dtype=float) for c in ("says", "silent"))
-                belief, message = beliefs(what, item_at, len(part), says, silent, prior[attr])
-            yield attr, part, item_at, who, what, belief, message
-
-
-def _edge_sums(classes: dict, prior: dict):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for attr, _, _, who, what, belief, message in _edge_parts(batches, classes, prior):
-            names, at = np.unique(who.astype(object), return_inverse=True)
-            right, seen = np.zeros((len(names), belief.shape[1])), np.zeros((len(names), belief.shape[1]))
-            np.add.at(right, (at, what), message[np.arange(len(what)), what])
-            np.add.at(seen, at, message)
-            none = [0.0] * belief.shape[1]
-            yield pd.DataFrame({"attr": attr, "annotator": [None, *names], "right": [none, *right.tolist()], "belief": [none, *seen.tolist()], "prior": [belief.sum(axis=0).tolist(), *[none] * len(names)]})
-
-    return run
-
-
-def _edge_items(classes: dict, prior: dict):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for attr, part, item_at, _, what, belief, _ in _edge_parts(batches, classes, prior):
-            yield _decided(attr, part, np.array(classes[attr]), item_at, what, belief)
-
-    return run
-
-
-def _edge_judge(classes: dict, prior: dict):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for attr, _, item_at, who, what, belief, _ in _edge_parts(batches, classes, prior):
-            yield pd.DataFrame({"attr": attr, "annotator": who, "right": belief[item_at, what]})
-
-    return run
-
-
-def _grouped(rows) -> dict:
-    out: dict = {}
-    for attr, option in rows:
-        out.setdefault(attr, []).append(option)
-    return out
+def _grouped(pairs: pd.DataFrame) -> dict:
+    """{attr: its options in ascending order}."""
+    return {attr: sorted(own.unique().tolist()) for attr, own in pairs.groupby("attr")["option"]}
 
 
 def _summed(sums: DataFrame) -> dict:
@@ -280,17 +291,35 @@ def _summed(sums: DataFrame) -> dict:
     return out
 
 
-def _edges(part: pd.DataFrame, own: list, at: pd.Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges of packed rows as indices of items, annotators and classes."""
-    who = at.get_indexer(np.concatenate(part["who"].to_numpy()))
-    what = np.searchsorted(own, np.concatenate(part["what"].to_numpy()))
-    return np.repeat(np.arange(len(part)), part["who"].map(len).to_numpy()), who, what
+def _coded(classes: dict, at: pd.Index):
+    """Blocks of items: flat arrays of their edges' annotators, classes and votes, and each item's number of edges."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for attr, part in b.groupby("attr", sort=False):
+                who, what, vote = (np.concatenate(part[c].to_numpy()) for c in ("who", "what", "vote"))
+                codes = at.get_indexer(who).astype(np.int32), np.searchsorted(classes[attr], what).astype(np.int32)
+                size = part["who"].map(len).to_numpy(dtype=np.int32)
+                yield pd.DataFrame({"attr": [attr], "item": [part["item"].to_numpy()], "size": [size], "who": [codes[0]], "what": [codes[1]], "vote": [vote]})
+
+    return run
+
+
+def _believed(batches: Iterator[pd.DataFrame], classes: dict, state: dict) -> Iterator[tuple]:
+    """(block, its attribute's options, edges' annotators and classes, beliefs, messages) of every block."""
+    for b in batches:
+        for r in b.itertuples(index=False):
+            own, rates, size, who, what = classes[r.attr], state[r.attr], np.asarray(r.size), np.asarray(r.who), np.asarray(r.what)
+            if rates is None:
+                yield r, own, who, what, *_vote_shares(np.repeat(np.arange(len(size)), size), what, len(size), len(own))
+            else:
+                begin = np.r_[0, np.cumsum(size)[:-1]]
+                yield r, own, who, what, *beliefs(what, begin, size, rates.says[who, what], rates.silent[who], rates.prior)
 
 
 def _vote_shares(item_at: np.ndarray, what: np.ndarray, items: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
     """The first round: shares of the votes, and for the messages without the annotator's own vote where there are others."""
-    tally = np.zeros((items, classes))
-    np.add.at(tally, (item_at, what), 1.0)
+    tally = np.bincount(item_at * classes + what, minlength=items * classes).reshape(items, classes).astype(float)
     rest = tally[item_at]
     rest[np.arange(len(what)), what] -= 1.0
     alone = rest.sum(axis=1) == 0
@@ -298,38 +327,16 @@ def _vote_shares(item_at: np.ndarray, what: np.ndarray, items: int, classes: int
     return tally / tally.sum(axis=1, keepdims=True), rest / rest.sum(axis=1, keepdims=True)
 
 
-def _decided(attr, part: pd.DataFrame, own: np.ndarray, item_at: np.ndarray, what: np.ndarray, belief: np.ndarray) -> pd.DataFrame:
-    """The result rows of one attribute's items."""
-    best = belief.argmax(axis=1)
-    tally = np.zeros(belief.shape)
-    np.add.at(tally, (item_at, what), np.concatenate(part["vote"].to_numpy()).astype(float))
-    row = np.arange(len(part))
-    return pd.DataFrame({
-        "attr": attr, "item": part["item"].to_numpy(), "option": own[best], "confidence": belief[row, best],
-        "agreement": tally[row, best] / tally.sum(axis=1), "annotators": tally.sum(axis=1).astype(np.int32), "options": (tally > 0).sum(axis=1).astype(np.int32),
-    })
-
-
-def _believed(part: pd.DataFrame, own: list, at: pd.Index, rates: Rates | None):
-    item_at, who, what = _edges(part, own, at)
-    if rates is None:
-        return item_at, who, what, *_vote_shares(item_at, what, len(part), len(own))
-    return item_at, who, what, *beliefs(what, item_at, len(part), rates.says[who], rates.silent[who], rates.prior)
-
-
 def _partial_sums(state: dict, classes: dict, at: pd.Index):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict = {}
-        for b in batches:
-            for attr, part in b.groupby("attr", sort=False):
-                own = classes[attr]
-                _, who, what, belief, message = _believed(part, own, at, state[attr])
-                if attr not in total:
-                    total[attr] = [np.zeros((len(at), len(own))), np.zeros((len(at), len(own))), np.zeros(len(own))]
-                right, seen, prior = total[attr]
-                np.add.at(right, (who, what), message[np.arange(len(what)), what])
-                np.add.at(seen, who, message)
-                prior += belief.sum(axis=0)
+        for r, own, who, what, belief, message in _believed(batches, classes, state):
+            shape = len(at), len(own)
+            right, seen, prior = total.setdefault(r.attr, (np.zeros(shape), np.zeros(shape), np.zeros(shape[1])))
+            right += np.bincount(who * shape[1] + what, message[np.arange(len(what)), what], shape[0] * shape[1]).reshape(shape)
+            for k in range(shape[1]):
+                seen[:, k] += np.bincount(who, message[:, k], shape[0])
+            prior += belief.sum(axis=0)
         for attr, (right, seen, prior) in total.items():
             some = np.flatnonzero(seen.sum(axis=1))
             none = [0.0] * len(prior)
@@ -343,12 +350,10 @@ def _judge(state: dict, classes: dict, at: pd.Index):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict = {}
-        for b in batches:
-            for attr, part in b.groupby("attr", sort=False):
-                item_at, who, what, belief, _ = _believed(part, classes[attr], at, state[attr])
-                labels, right = total.setdefault(attr, (np.zeros(len(at)), np.zeros(len(at))))
-                np.add.at(labels, who, 1.0)
-                np.add.at(right, who, belief[item_at, what])
+        for r, _, who, what, belief, _ in _believed(batches, classes, state):
+            labels, right = total.setdefault(r.attr, (np.zeros(len(at)), np.zeros(len(at))))
+            labels += np.bincount(who, minlength=len(at))
+            right += np.bincount(who, belief[np.repeat(np.arange(len(belief)), r.size), what], len(at))
         for attr, (labels, right) in total.items():
             some = np.flatnonzero(labels)
             yield pd.DataFrame({"attr": attr, "annotator": at[some].to_numpy(), "labels": labels[some].astype(np.int64), "right": right[some]})
@@ -356,11 +361,17 @@ def _judge(state: dict, classes: dict, at: pd.Index):
     return run
 
 
-def _decide(state: dict, classes: dict, at: pd.Index):
+def _decide(state: dict, classes: dict):
+    """The result rows of every block's items."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for attr, part in b.groupby("attr", sort=False):
-                item_at, _, what, belief, _ = _believed(part, classes[attr], at, state[attr])
-                yield _decided(attr, part, np.array(classes[attr]), item_at, what, belief)
+        for r, own, _, what, belief, _ in _believed(batches, classes, state):
+            best, row = belief.argmax(axis=1), np.arange(len(belief))
+            cell = np.repeat(row, r.size) * len(own) + what
+            tally = np.bincount(cell, np.asarray(r.vote, dtype=float), belief.size).reshape(belief.shape)
+            yield pd.DataFrame({
+                "attr": r.attr, "item": r.item, "option": np.array(own)[best], "confidence": belief[row, best],
+                "agreement": tally[row, best] / tally.sum(axis=1), "annotators": tally.sum(axis=1).astype(np.int32), "options": (tally > 0).sum(axis=1).astype(np.int32),
+            })
 
     return run

@@ -3,6 +3,7 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skewloom.llm import consensus as module
 from skewloom.llm.consensus import consensus, latest_votes, match_options
@@ -110,3 +111,22 @@ def test_rounds_end_when_every_rate_is_still(spark, monkeypatch):
         monkeypatch.setattr(module, "MAX_RATES", most)
         with pytest.warns(RuntimeWarning, match="max_rounds = 2"):
             consensus(frame(spark, rows), max_rounds=2)
+
+
+def test_an_annotator_of_all_items_and_an_item_of_many_annotators_are_split_in_the_join_path(spark, monkeypatch):
+    _, rows = votes_of(120, {"all": 1.0, "b": 0.8, "c": 0.4}, seed=3)
+    rows += [(500, f"n{k}", "attr", CLASSES[k % 3 == 0]) for k in range(200)]
+    key = lambda r: (r["attr"], r["item"], r["option"], round(r["confidence"], 6), round(r["agreement"], 6), r["annotators"], r["options"])
+    one = consensus(frame(spark, rows), max_rounds=3)
+    hot = []
+    real = module.join_unique
+
+    def spied(left, right, keys, counts, hot_rows=50):
+        hot.append((tuple(keys), counts.where(F.col("_n") > 50).count()))
+        return real(left, right, keys, counts, hot_rows)
+
+    monkeypatch.setattr(module, "MAX_RATES", 1)
+    monkeypatch.setattr(module, "join_unique", spied)
+    two = consensus(frame(spark, rows), max_rounds=3)
+    assert sorted(map(key, one[0].collect())) == sorted(map(key, two[0].collect()))
+    assert {k for k, n in hot if n} == {("attr", "annotator"), ("attr", "item")}
