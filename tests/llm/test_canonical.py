@@ -1,6 +1,9 @@
+import random
+
 import pytest
 
-from skewloom.llm.canonical import Matcher, Matching, counted, map_values
+from skewloom.llm import canonical as module
+from skewloom.llm.canonical import Matcher, Matching, Near, counted, map_values
 from skewloom.llm.vocabulary import ALIASES, FILLERS, SIZE_BINS
 
 HOW = Matching(aliases=ALIASES, bins=SIZE_BINS, fillers=FILLERS)
@@ -61,3 +64,62 @@ def test_empty_tables(spark):
     ref = spark.createDataFrame([], "ref_id bigint, attr string, ref_value string")
     assert [tuple(r) for r in map_values(df, "row_id", ["model_organism"], ref, HOW).collect()] == [(1, "model_organism", "abc", -1, "unmatched")]
     assert map_values(df.limit(0), "row_id", ["model_organism"], ref, HOW).count() == 0
+
+
+SYLLABLES = ["ka", "lo", "mer", "tin", "sol", "dav", "ra", "bel", "nor"]
+
+
+def made_up(draw, n):
+    word = lambda: "".join(draw.choice(SYLLABLES) for _ in range(draw.randint(1, 4)))
+    return [" ".join(word() for _ in range(draw.randint(1, 3))) for _ in range(n)]
+
+
+def typo(draw, word):
+    for _ in range(draw.randint(1, 4)):
+        k = draw.randrange(len(word) + 1)
+        word = draw.choice([word[:k] + word[k + 1 :], word[:k] + draw.choice("aeqx") + word[k:], word[: max(k - 1, 0)] + word[k : k + 1] + word[max(k - 1, 0) : k] + word[k + 1 :]])
+    return word
+
+
+@pytest.mark.parametrize("slack", [0.25, 0.26, 0.4])
+def test_candidates_lose_no_word_within_the_slack(slack):
+    draw = random.Random(3)
+    words = sorted({w.replace(" ", "") for w in made_up(draw, 500)})
+    near = Near(words, slack)
+    for value in (typo(draw, draw.choice(words)) for _ in range(150)):
+        got = set(near.near(value)[0].tolist())
+        for k, w in enumerate(words):
+            if value and module._edit_similarity(value, w, 1 - slack) >= 1 - slack and max(len(value), len(w)) * slack >= 1:
+                assert k in got, (value, w)
+
+
+def test_indexed_similarity_equals_the_search_of_the_whole_list():
+    draw = random.Random(4)
+    entries = sorted((i, n.capitalize()) for i, n in enumerate(sorted(set(made_up(draw, 250)))))
+    p = Matcher("x", entries, Matching()).patterns
+    for value in (module.fold(typo(draw, draw.choice(entries)[1].lower())) for _ in range(150)):
+        if not value:
+            continue
+        best, whole = {}, {}
+        for name, i in p.squashed.items():
+            if len(name) >= 4 and (s := module._edit_similarity(value.replace(" ", ""), name, 0.74)) >= 0.74:
+                whole[i] = max(whole.get(i, 0), s)
+        for name, i in ((w, i) for i, w in p.rows):
+            if (s := module._token_set(value.split(), name)) >= 0.74:
+                best[i] = max(best.get(i, 0), s)
+        assert p.alike(value) == module._top(whole) and (p.token_sets(value) == module._top(best) or (not best and p.token_sets(value)[0] < 0.74)), value
+
+
+def test_a_list_in_blocks_gives_the_same(spark, monkeypatch):
+    draw = random.Random(5)
+    names = [n.capitalize() for n in made_up(draw, 120)]
+    known = [(i, "model_organism", n) for i, n in enumerate(names)] + [(500 + i, "model_organism", v) for i, v in ORGANISMS] + [(900 + i, "sample_size", v) for i, v in SIZES] + [(77, "model_organism", names[3].upper())]
+    ref = spark.createDataFrame(known, "ref_id bigint, attr string, ref_value string")
+    values = [typo(draw, draw.choice(names).lower()) for _ in range(80)] + ["homo sapiens", "rat and mouse", "k. davelis", "davelis (tarocor)", "???", "adult human (wild type)", "qqq"]
+    rows = [(i, v, draw.choice(["n = 12", "36 subjects", "row 17", "under 50", "2000 people", None])) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "row_id bigint, model_organism string, sample_size string")
+    found = lambda: sorted((r["row_id"], r["attr"], r["term"], r["ref_id"], r["found_by"]) for r in map_values(df, "row_id", ["model_organism", "sample_size"], ref, HOW).collect())
+    one = found()
+    for name, most in (("MAX_ENTRIES", 10), ("BLOCK_FORMS", 400), ("BLOCK_VALUES", 30)):
+        monkeypatch.setattr(module, name, most)
+    assert found() == one and len({r[4] for r in one}) == 5
