@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import bound
 from .common import terms
 
 
@@ -42,7 +43,13 @@ def term_frequency(
 
 
 def _counts(attr, cell):
-    """[(attr, term, n)] of one cell; null gives an empty list."""
-    found = F.coalesce(terms(cell), F.array().cast("array<string>"))
-    many = lambda t: F.size(F.filter(found, lambda x: x == t)).cast("bigint")
-    return F.transform(F.array_distinct(found), lambda t: F.struct(attr.alias("attr"), t.alias("term"), many(t).alias("n")))
+    """[(attr, term, n)] of one cell, by the runs of its sorted terms; null gives an empty list."""
+    found = F.array_sort(F.coalesce(terms(cell), F.array().cast("array<string>")))
+
+    def runs(own):
+        begins = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: (i == 0) | ~F.get(own, i).eqNullSafe(F.get(own, i - 1)))
+        ends = F.concat(F.slice(begins, F.lit(2), F.size(begins)), F.array(F.size(own)))
+        return F.zip_with(begins, ends, lambda i, j: F.struct(attr.alias("attr"), F.get(own, i).alias("term"), (j - i).cast("bigint").alias("n")))
+
+    none = F.array().cast("array<struct<attr:string,term:string,n:bigint>>")
+    return bound(found, lambda own: F.when(F.size(own) == 0, none).otherwise(runs(own)))
