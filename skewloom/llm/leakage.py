@@ -28,6 +28,8 @@ from ..storage import written
 BLOCK_CHARS = 4_000_000
 #: Postings and documents of a segment.
 SEGMENT_POSTINGS, SEGMENT_DOCS = 1_000_000, 4096
+#: Query terms that a join may broadcast.
+MAX_BROADCAST_TERMS = 200_000
 _SHIFT = 32
 
 _REF = re.compile(r"<ref\b[^<>]*?(?:/>|>(.*?)</ref\s*>)", re.I | re.S)
@@ -116,9 +118,9 @@ def document_frequencies(index: DataFrame, of: set[str]) -> dict[str, int]:
     """Documents of the whole collection that hold each of the given terms."""
     each = index.select(F.explode(F.arrays_zip("terms", "df")).alias("x")).select("x.terms", "x.df")
     total = each.groupBy("terms").agg(F.sum("df").alias("df"))
-    if len(of) < 1_000_000:
-        total = total.join(F.broadcast(index.sparkSession.createDataFrame([(t,) for t in of], "terms string")), "terms", "left_semi")
-    return {r[0]: r[1] for r in total.collect() if r[0] in of}
+    asked = index.sparkSession.createDataFrame([(t,) for t in of], "terms string")  # terms of one block of passages
+    total = total.join(F.broadcast(asked) if len(of) < MAX_BROADCAST_TERMS else asked, "terms", "left_semi")
+    return {r[0]: r[1] for r in total.collect()}
 
 
 def anchors(passage: list[str], n: int, df: dict[str, int], each: int = 1) -> list[int]:
@@ -174,8 +176,8 @@ def _search_segment(r, wanted: list[tuple], n: int, slack: int, near_share: floa
             continue
         start = np.unique(np.concatenate(begins))
         best: dict[int, tuple] = {}
+        own = [postings(t) + base for t in passage]
         for chunk in np.array_split(start, max(1, len(start) * len(passage) // 4_000_000)):
-            own = [postings(t) + base for t in passage]
             hit = np.stack([_among(chunk + q, own[q], 0) for q in range(len(passage))], axis=1)
             run, at = _longest_run(hit)
             near = np.zeros_like(run)
