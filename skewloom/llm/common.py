@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 #: Most hot keys a join may broadcast; the row limit of a hot key is raised until they fit.
 MAX_HOT_KEYS = 10_000
 
@@ -52,9 +54,11 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], counts: Data
 def with_group_min(df: DataFrame, keys: list[str], value: str, out: str, least: int = 1, hot_rows: int | None = 100_000) -> DataFrame:
     """Adds the smallest ``value`` of each key group to its rows; groups under ``least`` rows drop out.
 
-    The minimum is combined before the shuffle, and hot keys take the other way of ``join_unique``.
+    The minimum is combined before the shuffle, and hot keys take the other way of ``join_unique``. Where these are looked
+    for, the groups are written, so that the search and the join do not both compute them.
     """
     stats = df.groupBy(*keys).agg(F.min(value).alias(out), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    stats = stats if hot_rows is None else written(stats)
     return join_unique(df, stats.drop("_n"), keys, stats, hot_rows)
 
 
