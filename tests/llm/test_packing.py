@@ -87,3 +87,19 @@ def test_sizes_are_those_of_the_tokenizer(spark):
     for i in (2, 3, 5):
         assert got[i] == len(slow.encode(texts[i], add_special_tokens=False).ids)
     assert token_counter(STEM)(["Hello"]) == [1]
+
+
+@pytest.mark.parametrize("text", [
+    "The mill of Davi was built in 1712; it's still there, isn't it?", "Ünïcödé — “quotes” … naïve façade", "Москва и Санкт-Петербург, 1999 г.", "東京は日本の首都です。人口は1400万人",
+    "مدينة القاهرة 2024", "नमस्ते दुनिया", "emoji 👩‍👩‍👧 🇫🇷 ✅", "tabs\tand\r\nlines\n\n\n   of   space ", "{{Infobox|a=1}} [[Category:X]] <ref name=\"y\">z</ref>", "a" * 5000, "é ​ zero width",
+])
+@pytest.mark.parametrize("name", ["byte_bpe_50k"])
+def test_both_libraries_count_the_same_tokens(text, name, monkeypatch):
+    from skewloom.llm import packing
+
+    packing.token_counter.cache_clear()
+    fast = token_counter(f"{TOKENIZERS}/{name}")([text])
+    monkeypatch.setattr(packing, "LONG_SPACE", packing.re.compile(""))  # every text takes the other way
+    packing.token_counter.cache_clear()
+    assert packing.token_counter(f"{TOKENIZERS}/{name}")([text]) == fast
+    packing.token_counter.cache_clear()
