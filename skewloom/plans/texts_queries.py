@@ -13,39 +13,68 @@ from . import data
 from .catalog import query
 from .labels_queries import _BIN, _WORDS, _rounded
 
-_TOK = f"regexp_extract_all(t, '({T.WORD})', 1)"
-_WHITE = f"list_filter(regexp_split_to_array(t, '{T.SPACE}+'), lambda x: x <> '')"
+# The features' SQL is written from their definitions, in another regular-expression dialect, not from the operator's patterns.
+_SPACE = "[ \\t\\n\\x0b\\f\\r\\x{1c}-\\x{1f}\\x{85}\\p{Z}]"
+_WHITE = f"list_filter(regexp_split_to_array(t, '{_SPACE}+'), lambda x: x <> '')"
+_NUMBER = "[0-9][0-9.,]*"
 _COUNT = "len(regexp_extract_all(t, '{}'))"
+_HEDGES = "(?i)\\b(may|might|could|possibly|potentially|likely|unlikely|suggest[0-9a-z_]*|indicat[0-9a-z_]*|appear[0-9a-z_]*|putative[0-9a-z_]*)\\b"
+_FIRST = "(?i)\\b(we|our|us|ours)\\b"
+_PASSIVE = "(?i)\\b(is|are|was|were|be|been|being)\\s+([0-9a-z_]+ly\\s+)?[0-9a-z_]+ed\\b"
+_ACRONYM = "\\b[A-Z][A-Z][A-Za-z0-9-]*\\b"
+_STATISTIC = ("(?i)\\bp\\s*[<=>]\\s*0?\\.[0-9]", "[0-9]\\s*%", "±", "(?i)\\bci\\b", "(?i)confidence interval", "(?i)\\b(odds|hazard) ratio\\b")
 _SOURCE = "src AS (SELECT row_id, text AS t FROM pool WHERE text IS NOT NULL)"
-_BASE = f"""{_SOURCE}, b AS (SELECT *, len({_TOK}) AS n, {_TOK} AS w, greatest(len(regexp_extract_all(t, '{T.SENTENCE_END}')), 1) AS s, len({_WHITE}) AS white,
-    len(list_filter({_WHITE}, lambda x: regexp_matches(x, '{T.NUMBER}'))) AS numeric_ FROM src)"""
-_MATTR = """CASE WHEN n = 0 THEN NULL WHEN n < 50 THEN len(list_distinct(list_transform(w, lambda x: lower(x))))::DOUBLE / n
-    ELSE list_avg(list_transform(range(0, n - 49, 5), lambda i: len(list_distinct(list_slice(list_transform(w, lambda x: lower(x)), (i + 1)::BIGINT, (i + 50)::BIGINT))) / 50.0::DOUBLE)) END"""
+_BASE = f"""{_SOURCE}, tok AS (SELECT *, regexp_extract_all(t, '[A-Za-z][A-Za-z''-]*|{_NUMBER}') AS w FROM src),
+    b AS (SELECT *, len(w) AS n, greatest(len(w), 1) AS d, list_filter(w, lambda x: regexp_matches(x, '^[A-Za-z]')) AS alpha, len({_WHITE}) AS white,
+    len(regexp_extract_all(regexp_replace(t, '^{_SPACE}+|{_SPACE}+$', '', 'g'), '[.!?]{_SPACE}+[A-Z(]')) + 1 AS s FROM tok)"""
+_LOW = "list_transform(w, lambda x: lower(x))"
+_MATTR = f"""CASE WHEN n <= 50 THEN len(list_distinct({_LOW}))::DOUBLE / d
+    ELSE list_avg(list_transform(range(0, n - 49, 5), lambda i: len(list_distinct(list_slice({_LOW}, (i + 1)::BIGINT, (i + 50)::BIGINT))) / 50.0::DOUBLE)) END"""
+_FEATURE_SQL = {
+    "mean_sentence_length": "d::DOUBLE / s",
+    "numeric_rate": "(n - len(alpha))::DOUBLE / d",
+    "has_statistic": "(" + " OR ".join(f"regexp_matches(t, '{x}')" for x in _STATISTIC) + ")::INTEGER",
+    "hedge_rate": f"{_COUNT.format(_HEDGES)}::DOUBLE / d",
+    "first_person_rate": f"{_COUNT.format(_FIRST)}::DOUBLE / d",
+    "moving_ttr": _MATTR,
+    "mean_word_length": "coalesce(len(array_to_string(alpha, ''))::DOUBLE / nullif(len(alpha), 0), 0)",
+    "acronym_rate": f"{_COUNT.format(_ACRONYM)}::DOUBLE / d",
+    "passive_per_sentence": f"{_COUNT.format(_PASSIVE)}::DOUBLE / s",
+    "word_count": "white::INTEGER",
+}
+
+
+def _features_sql(*names: str) -> str:
+    columns = ", ".join(f"{_FEATURE_SQL[n]} AS {n}" if n in ("word_count", "has_statistic") else f"round({_FEATURE_SQL[n]}, 6) AS {n}" for n in names)
+    return f"WITH {_BASE} SELECT row_id, {columns} FROM b"
 
 
 def _texts(spark, sf_dir):
     return data.table(spark, sf_dir, "pool").where("text is not null").select("row_id", "text")
 
 
-@query(f"WITH {_BASE} SELECT row_id, white::INTEGER AS word_count, round(n::DOUBLE / s, 6) AS mean_sentence_length, round(numeric_::DOUBLE / greatest(white, 1), 6) AS numeric_rate, round(len(array_to_string(w, ''))::DOUBLE / greatest(n, 1), 6) AS mean_word_length FROM b")
+_LENGTHS = ("word_count", "mean_sentence_length", "numeric_rate", "mean_word_length")
+_RATES = ("has_statistic", "hedge_rate", "first_person_rate", "acronym_rate", "passive_per_sentence")
+
+
+@query(_features_sql(*_LENGTHS))
 def surface_features(spark, sf_dir):
-    """Lengths and rates of every pool text."""
+    """Lengths and numeric rate of every pool text."""
     f = T.features(F.col("text"))
-    return _rounded(_texts(spark, sf_dir).select("row_id", *(f[c].alias(c) for c in ("word_count", "mean_sentence_length", "numeric_rate", "mean_word_length"))))
+    return _rounded(_texts(spark, sf_dir).select("row_id", *(f[c].alias(c) for c in _LENGTHS)))
 
 
-@query(f"WITH {_BASE} SELECT row_id, round({_MATTR}, 6) AS moving_ttr FROM b")
+@query(_features_sql("moving_ttr"))
 def mattr(spark, sf_dir):
     """Moving type-token ratio of every pool text."""
     return _rounded(_texts(spark, sf_dir).select("row_id", T.features(F.col("text"))["moving_ttr"].alias("moving_ttr")))
 
 
-@query(f"""WITH {_BASE} SELECT row_id, regexp_matches(t, '{T.STATISTIC}')::INTEGER AS has_statistic, round({_COUNT.format(T.HEDGE)}::DOUBLE / greatest(n, 1), 6) AS hedge_rate,
-round({_COUNT.format(T.FIRST)}::DOUBLE / greatest(n, 1), 6) AS first_person_rate, round({_COUNT.format(T.ACRONYM)}::DOUBLE / greatest(n, 1), 6) AS acronym_rate, round({_COUNT.format(T.PASSIVE)}::DOUBLE / s, 6) AS passive_per_sentence FROM b""")
+@query(_features_sql(*_RATES))
 def regex_rates(spark, sf_dir):
     """Rates of hedges, first persons, acronyms, passives and statistics."""
     f = T.features(F.col("text"))
-    return _rounded(_texts(spark, sf_dir).select("row_id", *(f[c].alias(c) for c in ("has_statistic", "hedge_rate", "first_person_rate", "acronym_rate", "passive_per_sentence"))))
+    return _rounded(_texts(spark, sf_dir).select("row_id", *(f[c].alias(c) for c in _RATES)))
 
 
 _Q = "[" + ", ".join(f"{k / 10}" for k in range(1, 10)) + "]"
