@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
@@ -12,7 +15,8 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .agreement import cohen_kappa
+from .agreement import cohen_kappa, jensen_shannon
+from .splits import half_split
 
 
 def standardised(train: DataFrame, others: list[DataFrame], vector: str = "vector") -> list[DataFrame]:
@@ -26,24 +30,26 @@ def standardised(train: DataFrame, others: list[DataFrame], vector: str = "vecto
     return [scale(d) for d in (train, *others)]
 
 
-def probe(train: DataFrame, test: DataFrame, label: str = "label", c: float = 1.0) -> DataFrame:
-    """(true, pred) of a linear probe: multinomial logistic regression with penalty 1 / (c n) on standardised vectors.
+def probe(train: DataFrame, test: DataFrame, label: str = "label", c: float = 1.0, keep: Sequence[str] = ()) -> DataFrame:
+    """(keep, true, pred) of a linear probe: multinomial logistic regression with penalty 1 / (c n) on standardised vectors.
 
     Empty if the training labels have fewer than two values. Test labels that training lacks stay as true labels.
     """
     names = train.select(label).distinct().limit(2).count()
     if names < 2:
-        return test.select(F.col(label).alias("a"), F.col(label).alias("b")).limit(0)
+        return test.select(*keep, F.col(label).alias("a"), F.col(label).alias("b")).limit(0)
+    train = train.cache()
     a, b = standardised(train, [test])
     index = StringIndexer(inputCol=label, outputCol="_y", handleInvalid="keep").fit(a)
     n = train.count()
     fitted = LogisticRegression(featuresCol="features", labelCol="_y", regParam=1 / (c * n), elasticNetParam=0, standardization=False, family="multinomial", maxIter=200).fit(index.transform(a))
-    return _named(fitted.transform(b), index.labels, label)
+    train.unpersist()
+    return _named(fitted.transform(b), index.labels, label, keep)
 
 
-def _named(scored: DataFrame, labels: list[str], label: str) -> DataFrame:
+def _named(scored: DataFrame, labels: list[str], label: str, keep: Sequence[str] = ()) -> DataFrame:
     known = F.array(*(F.lit(x) for x in labels))
-    return scored.select(F.col(label).cast("string").alias("a"), F.get(known, F.col("prediction").cast("int")).alias("b"))
+    return scored.select(*keep, F.col(label).cast("string").alias("a"), F.get(known, F.col("prediction").cast("int")).alias("b"))
 
 
 def probe_kappa(train: DataFrame, test: DataFrame, label: str = "label", c: float = 1.0) -> float | None:
@@ -52,6 +58,31 @@ def probe_kappa(train: DataFrame, test: DataFrame, label: str = "label", c: floa
     return row["kappa"] if row else None
 
 
+def probe_relabel(known: DataFrame, pool: DataFrame, attributes: Sequence[str], seed: int = 0, c: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """((set, id, attr, value) predicted labels, (attr, heldout_kappa, heldout_jsd, carried_kappa)) of one probe per attribute.
+
+    Each probe learns the attribute from half of ``known`` (id, vector, attributes) and labels its other half, set 'target', and
+    the whole pool, set 'pool', so that both pass through the same classifier. ``carried_kappa`` compares the pool's own
+    labels, where it has the attribute, with the predicted ones.
+    """
+    halves = half_split(known, "id", seed).cache()
+    labels, quality = [], []
+    for a in attributes:
+        train, held = (halves.where(F.col("split") == s).select("id", "vector", F.col(a).alias("label")) for s in ("ref", "query"))
+        own = pool.select("id", "vector", F.col(a).alias("label") if a in pool.columns else F.lit(None).cast("string").alias("label"))
+        both = held.withColumn("set", F.lit("target")).unionByName(own.withColumn("set", F.lit("pool")))
+        scored = probe(train.where("label is not null"), both, c=c, keep=("set", "id")).withColumn("attr", F.lit(a))
+        labels.append(scored.select("set", "id", "attr", F.col("b").alias("value")))
+        quality.append(scored)
+    every = reduce(DataFrame.unionByName, quality)
+    kappas = cohen_kappa(every, ["attr", "set"])
+    at = lambda s: F.max(F.when(F.col("set") == s, F.col("kappa")))
+    side = lambda col: every.where("set = 'target' and a is not null").select("attr", F.col(col).alias("value"))
+    jsd = jensen_shannon(side("b"), side("a"), ["attr"]).withColumnRenamed("jsd", "heldout_jsd")
+    found = kappas.groupBy("attr").agg(at("target").alias("heldout_kappa"), at("pool").alias("carried_kappa")).join(jsd, "attr", "left")
+    return reduce(DataFrame.unionByName, labels), found.select("attr", "heldout_kappa", "heldout_jsd", "carried_kappa")
+
+
 def tfidf_pipeline(text: str = "text", min_df: int = 2, most: int = 200_000) -> Pipeline:
     """Words and word pairs with 1 + ln tf, ln((1 + n) / (1 + df)) + 1 and unit rows. ``fit`` must see the training texts only."""
     return Pipeline(stages=[

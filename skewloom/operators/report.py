@@ -32,6 +32,16 @@ def replicate_baseline(df: DataFrame, prefix: str, lam: str = "lam") -> DataFram
     return f.where(~base).drop("_f").unionByName(shown.select(*df.columns))
 
 
+#: How the names of metric columns begin.
+METRIC_PREFIXES = ("jsd_", "mauve", "marg_jsd", "cell_jsd")
+
+
+def metric_columns(df: DataFrame, prefixes: Sequence[str] = METRIC_PREFIXES) -> list[str]:
+    """Numeric columns whose names begin with one of the prefixes, in the table's order."""
+    numeric = ("tinyint", "smallint", "int", "bigint", "float", "double")
+    return [c for c, kind in df.dtypes if (kind in numeric or kind.startswith("decimal")) and c.startswith(tuple(prefixes))]
+
+
 def unpivot(df: DataFrame, ids: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """(ids, metric, value) of the values that are not null."""
     pairs = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))
@@ -103,14 +113,14 @@ def best_model(scores: DataFrame, by: Sequence[str], score: str, cost: str, allo
     return scores.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def correction_table(per_selection: DataFrame) -> DataFrame:
-    """(attr, pool, random, random_sd, floor, vote, correction): how much of the random selection's distance the vote removes.
+def correction_table(per_selection: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, attr, pool, random, random_sd, floor, vote, correction): how much of the random selection's distance the vote removes.
 
-    ``per_selection`` has (attr, kind, jsd) with kind pool, random, floor or vote; the random deviation
+    ``per_selection`` has (by, attr, kind, jsd) with kind pool, random, floor or vote; the random deviation
     is of the population. Null where random and floor differ by no more than two deviations.
     """
     of = lambda k, f=F.avg: f(F.when(F.col("kind") == k, F.col("jsd")))
-    out = per_selection.groupBy("attr").agg(
+    out = per_selection.groupBy(*by, "attr").agg(
         of("pool").alias("pool"), of("random").alias("random"), of("random", F.stddev_pop).alias("random_sd"), of("floor").alias("floor"), of("vote").alias("vote")
     )
     room = F.col("random") - F.col("floor")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.report import (
-    best_model, best_of, change_first_last, correction_table, family, final_table, is_baseline, mean_sd_n, paired_differences,
+    best_model, best_of, change_first_last, family, final_table, is_baseline, mean_sd_n, paired_differences,
     paired_with_fallback, pivot_first, replicate_baseline, unpivot, visibility_summary,
 )
 from ..sources.runlog import join_side_file, last_round, path_fields, prior_as_round
@@ -111,11 +111,11 @@ def change_first_last_rounds(spark, sf_dir):
     return _rounded(change_first_last(long, ["annotator", "lam", "metric"], ["seed"], 0))
 
 
-@query(data.ctes(data.RUNLOG_SQL, *_SEEDS) + ", p AS (SELECT annotator, seed, min(jsd_mean) FILTER (lam = 0) AS lam_0, min(jsd_mean) FILTER (lam = 0.25) AS lam_25, min(jsd_mean) FILTER (lam = 0.5) AS lam_50 FROM seeds GROUP BY annotator, seed) SELECT annotator, seed, round(lam_0, 6) AS lam_0, round(lam_25, 6) AS lam_25, round(lam_50, 6) AS lam_50 FROM p WHERE lam_0 + lam_25 + lam_50 IS NOT NULL")
-def pivot_first_rounds(spark, sf_dir):
-    """One column per strength; rows with holes drop out."""
-    d = _seeds(spark, sf_dir).withColumn("column", F.concat(F.lit("lam_"), (F.col("lam") * 100).cast("int").cast("string")))
-    return _rounded(pivot_first(d, ["annotator", "seed"], "column", ["lam_0", "lam_25", "lam_50"], "jsd_mean"))
+@query(data.ctes(data.RUNLOG_SQL) + ", p AS (SELECT annotator, lam, seed, min(jsd_mean) FILTER (round = 0) AS round_0, min(jsd_mean) FILTER (round = 1) AS round_1, min(jsd_mean) FILTER (round = 3) AS round_3 FROM logs GROUP BY ALL) SELECT annotator, lam, seed, round(round_0, 6) AS round_0, round(round_1, 6) AS round_1, round(round_3, 6) AS round_3 FROM p WHERE round_0 + round_1 + round_3 IS NOT NULL")
+def pivot_rounds(spark, sf_dir):
+    """One column per round; runs that lack one drop out."""
+    d = data.run_log(spark, sf_dir).withColumn("column", F.concat(F.lit("round_"), F.col("round").cast("string")))
+    return _rounded(pivot_first(d, RUN, "column", ["round_0", "round_1", "round_3"], "jsd_mean"))
 
 
 @query(data.ctes(data.RUNLOG_SQL, _LAST) + """, a AS (SELECT annotator, lam, round(avg(mauve), 9) AS v FROM last WHERE mauve IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY annotator ORDER BY v DESC, lam) AS r FROM a)
@@ -158,18 +158,6 @@ def prior_round(spark, sf_dir):
     return prior_as_round(logs.where("round = 0").select("annotator", "seed", "jsd_mean"), logs.select("annotator", "seed", "round", "jsd_mean", "mauve")).select("annotator", "seed", "round", "jsd_mean", "mauve")
 
 
-_KINDS = """k AS (SELECT metric AS attr, CASE WHEN round = 0 THEN 'pool' WHEN round = 1 THEN 'random' WHEN round = 2 THEN 'vote' ELSE 'floor' END AS kind, value AS jsd FROM {u} WHERE metric <> 'mauve')"""
-
-
-@query(data.ctes(data.RUNLOG_SQL, f"u AS {_UNPIVOT.format(src='logs')}", _KINDS.format(u="u")) + """, g AS (SELECT attr, avg(jsd) FILTER (kind = 'pool') AS pool, avg(jsd) FILTER (kind = 'random') AS random, stddev_pop(jsd) FILTER (kind = 'random') AS random_sd, avg(jsd) FILTER (kind = 'floor') AS floor, avg(jsd) FILTER (kind = 'vote') AS vote FROM k GROUP BY attr)
-SELECT attr, round(pool, 6) AS pool, round(random, 6) AS random, round(random_sd, 6) AS random_sd, round(floor, 6) AS floor, round(vote, 6) AS vote, round(CASE WHEN random - floor > 2 * random_sd THEN (random - vote) / (random - floor) END, 6) AS correction FROM g""")
-def correction_by_metric(spark, sf_dir):
-    """The share of the random selection's distance that a vote removes; rounds stand for the kinds of selection."""
-    long = unpivot(data.run_log(spark, sf_dir), ["round"], [m for m in _M if m != "mauve"])
-    kind = F.when(F.col("round") == 0, "pool").when(F.col("round") == 1, "random").when(F.col("round") == 2, "vote").otherwise("floor")
-    return _rounded(correction_table(long.select(F.col("metric").alias("attr"), kind.alias("kind"), F.col("value").alias("jsd"))))
-
-
 @query(data.ctes(data.RUNLOG_SQL) + """, r AS (SELECT annotator AS attr, seed AS repeat, jsd_mean AS knn, mauve AS probe FROM logs WHERE round = 0), g AS (SELECT attr, avg(knn) AS knn, stddev_samp(knn) AS knn_sd, avg(probe) AS probe, stddev_samp(probe) AS probe_sd FROM r GROUP BY attr), c AS (SELECT annotator AS attr, count(DISTINCT lam) AS n_classes FROM logs GROUP BY 1)
 SELECT attr, n_classes, round(knn, 6) AS knn, round(knn_sd, 6) AS knn_sd, round(probe, 6) AS probe, round(probe_sd, 6) AS probe_sd, round(probe - knn, 6) AS gap, round(1 - knn, 6) AS blindness, row_number() OVER (ORDER BY attr <> 'inherited' DESC, 1 - knn DESC, attr) <= 3 AND attr <> 'inherited' AS selected FROM g JOIN c USING (attr)""")
 def exp1_summary(spark, sf_dir):

@@ -205,15 +205,6 @@ def cell_keys_other(spark, sf_dir):
     return keep_cells(cand, "cell", 30).select("cell", F.round("p", 9).alias("p"))
 
 
-@query(data.ctes(data.VECTORS_SQL, data.nearest_sql("nn", 1)) + """, h AS (SELECT ref_id, count(*) AS votes FROM nn GROUP BY 1), t AS (SELECT votes, row_number() OVER (ORDER BY votes DESC, ref_id) AS r FROM h)
-SELECT count(*) AS with_votes, max(votes) AS most, round(sum(votes) FILTER (r <= 20)::DOUBLE / sum(votes), 9) AS top_share FROM t""")
-def vote_concentration(spark, sf_dir):
-    """Candidates with votes, the most votes, and the share that the 20 best hold."""
-    h = vote_histogram(*data.voters_and_candidates(spark, sf_dir)).where("votes > 0")
-    top = top_k(h, 20, score="votes").agg(F.sum("votes").alias("_t"))
-    return h.agg(F.count(F.lit(1)).alias("with_votes"), F.max("votes").alias("most"), F.sum("votes").alias("_s")).join(top).select("with_votes", "most", F.round(F.col("_t") / F.col("_s"), 9).alias("top_share"))
-
-
 @query()
 def raked_select_pool(spark, sf_dir):
     """Raked selection over two attributes at strength 1: sequential fitting of a small cell table, so without SQL."""

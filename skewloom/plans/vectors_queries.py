@@ -56,11 +56,14 @@ def class_vote(spark, sf_dir):
     return vote_histogram(*_sets(spark, sf_dir), by="class")
 
 
-@query(data.ctes(data.VECTORS_SQL) + "SELECT label AS class, count(*) AS votes FROM voters WHERE label NOT IN (SELECT label FROM cands WHERE label < 7) GROUP BY 1")
-def class_vote_lost_votes(spark, sf_dir):
-    """Votes that are lost as their class has no candidate; candidates of the labels 7 to 9 were never generated."""
-    voters, cands = _sets(spark, sf_dir)
-    return lost_votes(voters.select(F.col("label").alias("class")), cands.where("label < 7").select(F.col("label").alias("class")), "class")
+_FINE = f"fine AS (SELECT voter, floor({uniform_sql(5, 'fine', 'id')} * 997)::BIGINT AS class FROM vectors)"
+
+
+@query(data.ctes(data.VECTORS_SQL, _FINE) + "SELECT class, count(*) AS votes FROM fine WHERE voter AND class NOT IN (SELECT class FROM fine WHERE NOT voter) GROUP BY 1")
+def lost_votes_by_class(spark, sf_dir):
+    """Votes that are lost as their class, one of 997, has no candidate."""
+    own = data.vectors(spark, sf_dir).select("voter", F.floor(uniform(5, "fine", F.col("id")) * 997).alias("class"))
+    return lost_votes(own.where("voter"), own.where("not voter"), "class")
 
 
 @query(data.ctes(data.VECTORS_SQL, data.nearest_sql("nn", K, by="class"), _LABELS_SQL) + """, l AS (SELECT lab.*, class FROM lab JOIN vectors USING (id)), ag AS (SELECT q.attr, q.class, avg((q.value = r.value)::INTEGER) AS agree FROM nn JOIN l q ON q.id = query_id JOIN l r ON r.id = ref_id AND r.attr = q.attr GROUP BY 1, 2),
@@ -91,14 +94,6 @@ def recall_at_10(spark, sf_dir):
     return recall_between(nearest(voters, cands, 10), nearest(short(voters), short(cands), 10), 10)
 
 
-@query(data.ctes(data.VECTORS_SQL, data.nearest_sql("nn", 1)) + "SELECT round(avg((q.label = r.label)::INTEGER), 6) AS twin_rate FROM nn JOIN vectors q ON q.id = query_id JOIN vectors r ON r.id = ref_id")
-def twin_rate(spark, sf_dir):
-    """How often the nearest neighbour is of the same group."""
-    group = data.vectors(spark, sf_dir).select("id", "label")
-    pairs = nearest(*_sets(spark, sf_dir), 1).join(group.toDF("query_id", "a"), "query_id").join(group.toDF("ref_id", "b"), "ref_id")
-    return pairs.agg(F.round(F.avg((F.col("a") == F.col("b")).cast("double")), 6).alias("twin_rate"))
-
-
 @query(data.ctes(data.VECTORS_SQL) + """, p AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(range(1, 65)) AS i, unnest(vector) AS x FROM vectors) GROUP BY 1, 2), proxies AS (SELECT label AS id, list(round(x, 9) ORDER BY i) AS vector FROM p GROUP BY label)
 SELECT query_id, ref_id AS nearest FROM (SELECT v.id AS query_id, c.id AS ref_id, row_number() OVER (PARTITION BY v.id ORDER BY round(list_sum(list_transform(list_zip(v.vector, c.vector), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9), c.id) AS r FROM vectors v, proxies c) WHERE r = 1""")
 def nearest_proxy(spark, sf_dir):
