@@ -163,38 +163,46 @@ def _class_sql() -> str:
 
 
 @query(_class_sql())
-def select_per_class(spark, sf_dir):
+def select_per_class_kg(spark, sf_dir):
     """The best K_g candidates of every class."""
-    cand, _, k = candidates(spark, sf_dir)
-    sizes = cand.groupBy("class").agg(F.floor(F.count(F.lit(1)) / POOL_PER_SURVIVOR).alias("kc"))
-    return top_k(cand.select("class", "cand_id", "score"), k, ["class"]).join(F.broadcast(sizes), "class").where("rank <= kc").select("class", "cand_id", "rank")  # a row per class
+    cand, _, _ = candidates(spark, sf_dir)
+    sizes = cand.groupBy("class").agg(F.floor(F.count(F.lit(1)) / POOL_PER_SURVIVOR).alias("k"))
+    return top_k(cand.select("class", "cand_id", "score"), sizes, ["class"]).select("class", "cand_id", "rank")
 
 
 def _quota_class_sql() -> str:
     p = "PARTITION BY class"
-    parts = [f"ranked AS (SELECT *, row_number() OVER ({p} ORDER BY score DESC, cand_id) AS rank FROM cand)", "kc AS (SELECT min(n) // 7 AS kc FROM (SELECT count(*) AS n FROM cand GROUP BY class))",
-        f"base AS (SELECT class, cell, count(*)::DOUBLE / sum(count(*)) OVER ({p}) AS r FROM ranked, kc WHERE rank <= kc GROUP BY class, cell)",
+    parts = [f"ranked AS (SELECT *, row_number() OVER ({p} ORDER BY score DESC, cand_id) AS rank FROM cand)", "kc AS (SELECT class, count(*) // 7 AS kc FROM cand GROUP BY class)",
+        f"base AS (SELECT class, cell, count(*)::DOUBLE / sum(count(*)) OVER ({p}) AS r FROM ranked JOIN kc USING (class) WHERE rank <= kc GROUP BY class, cell)",
         "w AS (SELECT class, cell, pow(coalesce(p, 0)::DOUBLE, 0.5) * pow(coalesce(r, 0)::DOUBLE, 0.5) AS w FROM base FULL JOIN (SELECT * FROM (SELECT DISTINCT class FROM cand), goal) USING (class, cell))",
-        f"sh AS (SELECT class, cell, round(kc * w / sum(w) OVER ({p}), 9) AS s FROM w, kc)",
+        f"sh AS (SELECT class, cell, round(kc * w / sum(w) OVER ({p}), 9) AS s FROM w JOIN kc USING (class))",
         f"quotas AS (SELECT class, cell, floor(s) + CASE WHEN row_number() OVER ({p} ORDER BY round(s - floor(s), 9) DESC, cell) <= round(sum(s) OVER ({p})) - sum(floor(s)) OVER ({p}) THEN 1 ELSE 0 END AS quota FROM sh)",
         f"""chosen AS (SELECT class, cand_id, by_quota FROM (SELECT *, row_number() OVER ({p} ORDER BY by_quota DESC, rank) AS o FROM
-        (SELECT x.*, coalesce(c <= quota, false) AS by_quota FROM (SELECT *, row_number() OVER (PARTITION BY class, cell ORDER BY rank) AS c FROM ranked) x LEFT JOIN quotas USING (class, cell))), kc WHERE o <= kc)"""]
+        (SELECT x.*, coalesce(c <= quota, false) AS by_quota FROM (SELECT *, row_number() OVER (PARTITION BY class, cell ORDER BY rank) AS c FROM ranked) x LEFT JOIN quotas USING (class, cell))) JOIN kc USING (class) WHERE o <= kc)"""]
     return data.ctes(*CAND_SQL, *parts) + "SELECT class, cand_id, by_quota FROM chosen"
 
 
 @query(_quota_class_sql())
-def quota_per_class(spark, sf_dir):
-    """Quota selection inside every class at strength 0.5."""
+def quota_per_class_kg(spark, sf_dir):
+    """Quota selection inside every class at strength 0.5, each with its own K."""
     cand, goal, _ = candidates(spark, sf_dir)
-    k = cand.groupBy("class").count().agg(F.min("count")).first()[0] // POOL_PER_SURVIVOR
+    k = cand.groupBy("class").agg(F.floor(F.count(F.lit(1)) / POOL_PER_SURVIVOR).alias("k"))
     return quota_select(cand, goal, 0.5, k, ["class"]).select("class", "cand_id", "by_quota")
 
 
-@query("WITH c AS (SELECT sample_size AS class, count(*) AS n FROM (SELECT DISTINCT row_id, sample_size FROM pool WHERE sample_size IS NOT NULL) GROUP BY 1 HAVING count(*) >= 5), s AS (SELECT class, round(2000::DOUBLE * n / sum(n) OVER (), 9) AS s FROM c) SELECT class, (floor(s) + CASE WHEN row_number() OVER (ORDER BY round(s - floor(s), 9) DESC, class) <= round(sum(s) OVER ()) - sum(floor(s)) OVER () THEN 1 ELSE 0 END)::BIGINT AS k FROM s")
-def survivors_by_class(spark, sf_dir):
-    """2,000 survivors over the typed sizes that five or more rows have, in proportion."""
-    d = data.table(spark, sf_dir, "pool").select("row_id", F.col("sample_size").alias("class")).where("class is not null").distinct()
-    return survivors_per_class(d.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n >= 5"), 2000)
+@query(data.ctes(*CAND_SQL) + ", c AS (SELECT sample_size AS class, count(*) AS n FROM cand GROUP BY 1), s AS (SELECT class, round(2000::DOUBLE * n / sum(n) OVER (), 9) AS s FROM c) SELECT class, (floor(s) + CASE WHEN row_number() OVER (ORDER BY round(s - floor(s), 9) DESC, class) <= round(sum(s) OVER ()) - sum(floor(s)) OVER () THEN 1 ELSE 0 END)::BIGINT AS k FROM s")
+def survivors_by_size(spark, sf_dir):
+    """2,000 survivors over the sizes of all candidates, in proportion."""
+    cand, _, _ = candidates(spark, sf_dir)
+    return survivors_per_class(cand.groupBy(F.col("sample_size").alias("class")).agg(F.count(F.lit(1)).alias("n")), 2000)
+
+
+@query(data.ctes(*CAND_SQL, "rest AS (SELECT *, row_number() OVER (ORDER BY score DESC, cand_id) AS rank FROM cand)") + "SELECT cand_id, score, rank FROM rest WHERE rank <= (SELECT 6 * k FROM kk)")
+def topk_six_sevenths(spark, sf_dir):
+    """All candidates but the last seventh, ranked over ranges of scores, so that no task holds a large K."""
+    cand, _, k = candidates(spark, sf_dir)
+    sizes = spark.createDataFrame([(6 * k,)], "k bigint")
+    return top_k(cand.select("cand_id", "score"), sizes)
 
 
 @query(data.ctes(*CAND_SQL) + """, n AS (SELECT cell, count(*) AS n FROM cand GROUP BY cell), r AS (SELECT cell, n, row_number() OVER (ORDER BY n DESC, cell) AS r, count(*) OVER () AS m FROM n)
