@@ -86,3 +86,21 @@ def to_long(df: DataFrame, id_cols: Sequence[str], attributes: Sequence[str], at
     """One row per record and attribute."""
     pairs = F.array(*(F.struct(F.lit(a).alias(attr), F.col(a).cast("string").alias(value)) for a in attributes))
     return df.select(*id_cols, F.inline(pairs))
+
+
+def paired_long(df: DataFrame, id_cols: Sequence[str], attributes: Sequence[str], one: str = "", other: str = "map_") -> DataFrame:
+    """(ids, attr, a, b): two labels of every attribute that one row carries under two prefixes, without a join."""
+    pairs = F.array(*(F.struct(F.lit(x).alias("attr"), F.col(one + x).cast("string").alias("a"), F.col(other + x).cast("string").alias("b")) for x in attributes))
+    return df.select(*id_cols, F.inline(pairs))
+
+
+def encode_labels(df: DataFrame, vocabulary: Vocabulary, attributes: Sequence[str], prefix: str = "") -> DataFrame:
+    """Replaces labels by their place in the vocabulary, from 0; null for a missing label and for one that the vocabulary lacks."""
+    at = lambda a: F.array_position(F.array(*(F.lit(o) for o in vocabulary.options[a])), F.col(prefix + a))
+    return df.withColumns({prefix + a: F.when(at(a) > 0, at(a).cast("int") - 1) for a in attributes})
+
+
+def cyclic(values: Column, n: Column | int) -> Column:
+    """The array repeated from its start until it has n entries."""
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(values, F.pmod(i, F.size(values))))).otherwise(F.slice(values, 1, 0))

@@ -16,41 +16,50 @@ LENGTH_EDGES = tuple(range(25, 1000, 50))
 CELLS = 4096
 
 
+#: Values of a cell from which it is cut into cells again.
+MOST_IN_CELL = 100_000
+
+
 def exact_quantiles(df: DataFrame, features: Sequence[str], shares: Sequence[float]) -> dict[str, list[float]]:
     """Quantiles of each feature by linear interpolation; none for a feature without values. NaN does not count.
 
-    A first pass counts the values in cells of equal width, which gives the cell of every wanted rank;
-    a second one looks into those few cells only. No task sees all values, as an exact percentile
-    aggregate would.
+    A pass counts the values in cells of equal width, which gives the cell of every wanted rank. Cells that hold many values are
+    cut again between their own least and greatest value, as often as needed, so an outlier that throws all others into one
+    cell costs one more pass. The last pass sorts only the cells of the wanted ranks; no task sees all values.
     """
+    spark = df.sparkSession
     parts = F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).cast("double").alias("x")) for f in features))
     long = df.select(F.inline(parts)).where("x is not null and not isnan(x)")
     span = {r["f"]: (r["a"], r["b"], r["n"]) for r in long.groupBy("f").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.count(F.lit(1)).alias("n")).collect()}
-    if not span:
-        return {f: [] for f in features}
-    width = reduce(lambda c, f: c.when(F.col("f") == f, F.lit(float(span[f][1] - span[f][0]))), span, F)
-    low = reduce(lambda c, f: c.when(F.col("f") == f, F.lit(float(span[f][0]))), span, F)
-    cell = F.when(width > 0, F.least(F.floor((F.col("x") - low) / width * CELLS), F.lit(CELLS - 1))).otherwise(0).cast("int")
-    placed = long.withColumn("c", cell)
-    counts: dict[str, list[tuple[int, int]]] = {}
-    for r in placed.groupBy("f", "c").count().collect():  # at most CELLS numbers per feature
-        counts.setdefault(r["f"], []).append((r["c"], r["count"]))
-    ranks, wanted, before = {}, [], {}
-    for f, (_, _, n) in span.items():
-        ranks[f] = sorted({k for s in shares for k in (int(s * (n - 1)), min(int(s * (n - 1)) + 1, n - 1))})
-        total, todo = 0, list(ranks[f])
-        for c, m in sorted(counts[f]):
-            if todo and todo[0] < total + m:
-                wanted.append((f, c))
-                before[f, c] = total
-                todo = [k for k in todo if k >= total + m]
-            total += m
-    few = F.broadcast(df.sparkSession.createDataFrame(wanted, "f string, c int"))  # two cells per share
-    ties = placed.join(few, ["f", "c"]).groupBy("f", "c", "x").agg(F.count(F.lit(1)).alias("m"))
-    upto = ties.withColumn("u", F.sum("m").over(Window.partitionBy("f", "c").orderBy("x")))
-    asked = df.sparkSession.createDataFrame([(f, c, k - before[f, c]) for f, c in wanted for k in ranks[f] if before[f, c] <= k < before[f, c] + dict(counts[f])[c]], "f string, c int, k bigint")
-    hit = upto.join(F.broadcast(asked), ["f", "c"]).where((F.col("u") > F.col("k")) & (F.col("u") - F.col("m") <= F.col("k")))
-    value = {(r["f"], r["k"] + before[r["f"], r["c"]]): r["x"] for r in hit.collect()}  # one row per wanted rank
+    ranks = {f: sorted({k for s in shares for k in (int(s * (n - 1)), min(int(s * (n - 1)) + 1, n - 1))}) for f, (_, _, n) in span.items()}
+    value: dict[tuple[str, int], float] = {}
+    # (feature, least, greatest, values, values before it): the cells that hold wanted ranks; two per share at most.
+    open_ = [(f, a, b, n, 0) for f, (a, b, n) in span.items()]
+    small = []
+    while open_:
+        known = F.broadcast(spark.createDataFrame([(f, k, float(a), float(b)) for k, (f, a, b, _, _) in enumerate(open_)], "f string, k int, a double, b double"))
+        inside = long.join(known, "f").where((F.col("x") >= F.col("a")) & (F.col("x") <= F.col("b")))
+        width = F.col("b") / CELLS - F.col("a") / CELLS  # cannot overflow
+        cell = F.when(width > 0, F.least(F.floor((F.col("x") / CELLS - F.col("a") / CELLS) / width * CELLS), F.lit(CELLS - 1))).otherwise(0).cast("int")
+        counts = inside.groupBy("k", cell.alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).collect()  # at most CELLS numbers per cell
+        cut = []
+        for k, (f, _, _, n, before) in enumerate(open_):
+            total, todo = before, [r for r in ranks[f] if before <= r < before + n]
+            for r in sorted((r for r in counts if r["k"] == k), key=lambda r: r["c"]):
+                own = [x for x in todo if total <= x < total + r["n"]]
+                if own and r["a"] == r["b"]:
+                    value.update({(f, x): r["a"] for x in own})
+                elif own:
+                    (cut if r["n"] > MOST_IN_CELL else small).append((f, r["a"], r["b"], r["n"], total))
+                total += r["n"]
+        open_ = cut
+    if small:
+        known = F.broadcast(spark.createDataFrame([(f, float(a), float(b), before) for f, a, b, _, before in small], "f string, a double, b double, before bigint"))
+        ties = long.join(known, "f").where((F.col("x") >= F.col("a")) & (F.col("x") <= F.col("b"))).groupBy("f", "before", "x").agg(F.count(F.lit(1)).alias("m"))
+        upto = ties.withColumn("u", F.sum("m").over(Window.partitionBy("f", "before").orderBy("x")) + F.col("before"))
+        asked = F.broadcast(spark.createDataFrame([(f, before, r) for f, _, _, n, before in small for r in ranks[f] if before <= r < before + n], "f string, before bigint, r bigint"))
+        hit = upto.join(asked, ["f", "before"]).where((F.col("u") > F.col("r")) & (F.col("u") - F.col("m") <= F.col("r")))
+        value.update({(r["f"], r["r"]): r["x"] for r in hit.collect()})  # one row per wanted rank
     out: dict[str, list[float]] = {f: [] for f in features}
     for f, (_, _, n) in span.items():
         for s in shares:

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Vectors of a reference block: 20,000 of 768 single floats are 60 MB.
 BLOCK_ROWS = 20_000
+#: Classes whose numbers of blocks a join may broadcast.
+MAX_CLASSES = 100_000
 
 
 def nearest(queries: DataFrame, refs: DataFrame, k: int, by: str | None = None) -> DataFrame:
@@ -34,24 +36,30 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, by: str | None = None)
     if blocks == 1:
         found = queries.mapInPandas(_search(refs.toPandas(), k, by), schema)
     else:
-        found = _grid(queries, refs, k, by, blocks, schema)
+        found = _grid(queries, refs, k, by, schema)
     w = Window.partitionBy("query_id").orderBy("distance", "ref_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _grid(queries: DataFrame, refs: DataFrame, k: int, by: str | None, blocks: int, schema: str) -> DataFrame:
-    """Every block of queries against every block of references, one bounded task each."""
-    own = max(1, -(-queries.count() // BLOCK_ROWS))
-    cell = lambda d, n: d.withColumn("_q" if d is queries else "_r", F.pmod(F.xxhash64("id"), F.lit(n)))
-    upto = lambda n: F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
-    asked = cell(queries, own).withColumn("_r", F.explode(upto(blocks)))
-    known = cell(refs, blocks).withColumn("_q", F.explode(upto(own)))
+def _grid(queries: DataFrame, refs: DataFrame, k: int, by: str | None, schema: str) -> DataFrame:
+    """Every block of queries against every block of references, of its own class only, one bounded task each."""
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    keys = [by] if by else []
+    blocks = lambda d, n: d.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK_ROWS))).cast("bigint").alias(n))
+    sizes = blocks(queries, "_nq").join(blocks(refs, "_nr"), keys) if by else blocks(queries, "_nq").crossJoin(blocks(refs, "_nr"))
+    few = sizes.limit(MAX_CLASSES + 1).collect()
+    sizes = F.broadcast(queries.sparkSession.createDataFrame(few, sizes.schema)) if len(few) <= MAX_CLASSES else sizes  # checked
+    cell = lambda d, n: F.pmod(F.xxhash64("id"), F.col(n))
+    sized = lambda d: d.join(sizes, keys) if by else d.crossJoin(sizes)  # noqa: E731 - one row without classes
+    asked = sized(queries).withColumn("_q", cell(queries, "_nq")).withColumn("_r", upto(F.col("_nr"))).drop("_nq", "_nr")
+    known = sized(refs).withColumn("_r", cell(refs, "_nr")).withColumn("_q", upto(F.col("_nq"))).drop("_nq", "_nr")
 
     def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         out = list(_search(r, k, by)(iter([q]))) if len(q) and len(r) else []
         return pd.concat(out) if out else pd.DataFrame({"query_id": q["id"][:0], "ref_id": r["id"][:0], "distance": np.zeros(0)})
 
-    return asked.groupBy("_q", "_r").cogroup(known.groupBy("_q", "_r")).applyInPandas(run, schema)
+    at = [*keys, "_q", "_r"]
+    return asked.groupBy(*at).cogroup(known.groupBy(*at)).applyInPandas(run, schema)
 
 
 def _search(table: pd.DataFrame, k: int, by: str | None):
@@ -63,23 +71,28 @@ def _search(table: pd.DataFrame, k: int, by: str | None):
                 if c not in parts or not len(own):
                     continue
                 ids, refs = parts[c]
+                squares = (refs * refs).sum(axis=1)
                 q = np.stack(own["vector"].to_numpy()).astype(np.float64)
-                for begin in range(0, len(q), 512):
-                    block = q[begin : begin + 512]
-                    rough = (refs * refs).sum(axis=1) - 2 * block @ refs.T
+                step = max(1, min(512, 4_000_000 // len(ids)))  # the matrix of a step stays at 32 MB
+                for begin in range(0, len(q), step):
+                    block = q[begin : begin + step]
+                    rough = squares - 2 * block @ refs.T
                     some = min(len(ids), k + 16)  # margin for rounding and ties of the matrix form
                     near = np.argpartition(rough, some - 1, axis=1)[:, :some]
                     values = np.sort(np.take_along_axis(rough, near, axis=1), axis=1)
-                    close = 1e-9 * (1 + np.abs(values[:, -1]))
-                    if some < len(ids) and (values[:, -1] - values[:, min(k, some) - 1] <= close).any():
-                        near = np.broadcast_to(np.arange(len(ids)), rough.shape)  # ties beyond the margin
+                    kth = values[:, min(k, some) - 1]
+                    close = 1e-9 * (1 + np.abs(kth) + (block * block).sum(axis=1))
                     exact = ((refs[near] - block[:, None, :]) ** 2).sum(axis=2)
                     order = np.lexsort((ids[near], exact), axis=1)[:, :k]
                     rows = np.arange(len(block))[:, None]
-                    yield pd.DataFrame({
-                        "query_id": np.repeat(own["id"].to_numpy()[begin : begin + 512], order.shape[1]),
-                        "ref_id": ids[near][rows, order].ravel(), "distance": exact[rows, order].ravel(),
-                    })
+                    found, away = ids[near][rows, order], exact[rows, order]
+                    if some < len(ids):
+                        for i in np.flatnonzero(values[:, -1] - kth <= close):  # ties beyond the margin: these rows alone
+                            tied = np.flatnonzero(rough[i] <= kth[i] + close[i])
+                            d = np.concatenate([((refs[at] - block[i]) ** 2).sum(axis=1) for at in np.array_split(tied, len(tied) // 4096 + 1)])
+                            first = np.lexsort((ids[tied], d))[:k]
+                            found[i], away[i] = ids[tied][first], d[first]
+                    yield pd.DataFrame({"query_id": np.repeat(own["id"].to_numpy()[begin : begin + step], found.shape[1]), "ref_id": found.ravel(), "distance": away.ravel()})
 
     return run
 

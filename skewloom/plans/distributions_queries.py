@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.agreement import chance_agreement, confusion, corrected_marginal, jensen_shannon, macro_f1, mutual_information
+from ..operators.agreement import chance_agreement, confusion, jensen_shannon, macro_f1, mutual_information
+from ..operators.analysis import corrected
 from ..operators.raking import marginals
 from ..operators.report import metric_means
 from . import data
 from .catalog import query
-from .labels_queries import _MAPPED, _mapped_long, _rounded
+from .labels_queries import _MAPPED, _label_pairs, _mapped_long, _rounded
 
 
 def jsd_sql(p: str, q: str, by: str = "attr") -> str:
@@ -93,7 +94,7 @@ def nmi_offdiag_mean(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    return data.pool_long(spark, sf_dir).withColumnRenamed("value", "a").join(_mapped_long(spark, sf_dir).withColumnRenamed("value", "b"), ["row_id", "attr"]).where("b is not null")
+    return _label_pairs(spark, sf_dir).where("b is not null")
 
 
 _PAIRS = [*_MAPPED, *data.POOL_LONG_SQL[1:], "pairs AS (SELECT attr, q.value AS a, m.value AS b FROM qlong q JOIN mlong m USING (row_id, attr) WHERE m.value IS NOT NULL)"]
@@ -127,19 +128,5 @@ def metric_means_pool(spark, sf_dir):
 @query()
 def nnls_corrected(spark, sf_dir):
     """Confusion-corrected marginals of the annotated labels: least squares over a small matrix per attribute, so without SQL."""
-    pairs = _pairs(spark, sf_dir)
     options = data.table(spark, sf_dir, "schema_options").select("attr", F.col("option_value").alias("value"))
-    conf = confusion(pairs, options, ["attr"])
-    shares = marginals(_mapped_long(spark, sf_dir).groupBy("row_id").pivot("attr", data.ATTRIBUTES).agg(F.min("value")), data.ATTRIBUTES).withColumnsRenamed({"value": "b", "p": "share"})
-    # One attribute's matrix is a few hundred numbers.
-    return conf.join(shares, ["attr", "b"], "left").groupBy("attr").applyInPandas(_correct, "attr string, value string, p double")
-
-
-def _correct(part):
-    import pandas as pd
-
-    names = sorted(part["a"].unique())
-    matrix = part.pivot(index="a", columns="b", values="p").loc[names, names].to_numpy()
-    share = part.drop_duplicates("b").set_index("b")["share"].reindex(names).fillna(0.0).to_numpy()
-    fixed = corrected_marginal(matrix, share / max(share.sum(), 1e-12))
-    return pd.DataFrame({"attr": part["attr"].iloc[0], "value": names, "p": fixed})
+    return corrected(_pairs(spark, sf_dir), options)

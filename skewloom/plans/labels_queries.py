@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.labels import (
-    SPACE, clean_labels, clean_value, group_key, has_text, inherited_labels, labels_from_map, length_bin, to_long, word_count,
+    SPACE, clean_labels, clean_value, encode_labels, group_key, has_text, inherited_labels, labels_from_map, length_bin,
+    paired_long, to_long, word_count,
 )
 from ..operators.agreement import cohen_kappa
 from ..sources.caches import annotations_to_do, missing
 from ..sources.connectors import label_prompt, parse_labels
-from ..sources.tables import add_class_id, class_map, shards
+from ..sources.tables import add_class_id, class_conflicts, class_map, shards
 from . import data
 from .catalog import query
 
@@ -81,11 +82,17 @@ def map_labels_all_null(spark, sf_dir):
     return _mapped_long(spark, sf_dir)
 
 
+def _label_pairs(spark, sf_dir):
+    """(row_id, attr, a, b): carried and annotated label of every pool row and attribute, both from one row."""
+    v, maps = data.vocabulary(spark, sf_dir), ["map_" + a for a in data.ATTRIBUTES]
+    d = data.pool(spark, sf_dir, *data.ATTRIBUTES, *maps)
+    return paired_long(labels_from_map(clean_labels(d, v, data.ATTRIBUTES), v, data.ATTRIBUTES), ["row_id"], data.ATTRIBUTES)
+
+
 @query(data.ctes(*_MAPPED, *data.POOL_LONG_SQL[1:], "cells AS (SELECT attr, q.value AS a, m.value AS b, count(*) AS c FROM qlong q JOIN mlong m USING (row_id, attr) WHERE m.value IS NOT NULL GROUP BY ALL)") + _KAPPA)
 def cohen_kappa_carried(spark, sf_dir):
     """Kappa of carried and annotated labels by attribute."""
-    pairs = data.pool_long(spark, sf_dir).withColumnRenamed("value", "a").join(_mapped_long(spark, sf_dir).withColumnRenamed("value", "b"), ["row_id", "attr"])
-    return _rounded(cohen_kappa(pairs, ["attr"]))
+    return _rounded(cohen_kappa(_label_pairs(spark, sf_dir), ["attr"]))
 
 
 @query(data.ctes(*data.POOL_LONG_SQL[:1], data.VOCAB_SQL, data.long_sql("qraw", "pool1", "row_id", {"research_goal": "research_goal"}), data.cleaned_sql("qlong", "qraw", "row_id")) + "SELECT row_id, value AS research_goal, NULL::VARCHAR AS tissue FROM qlong")
@@ -101,12 +108,18 @@ def clean_exact_prefix(spark, sf_dir):
     return data.table(spark, sf_dir, "schema_options").select("option_id", "attr", clean_value(F.col("option_value"), ["Cell", "Other"], "none").alias("value"))
 
 
-@query("SELECT attr, is_fallback, min(option_id) AS class_id FROM schema_options GROUP BY attr, is_fallback HAVING count(DISTINCT attr) = 1")
-def label_id_fd(spark, sf_dir):
-    """The class id of every (attribute, fallback) pair, after each pair's ids were made one."""
-    o = data.table(spark, sf_dir, "schema_options")
-    one = o.groupBy("attr", "is_fallback").agg(F.min("option_id").alias("class_id"))
-    return class_map(o.select("attr", "is_fallback").join(one, ["attr", "is_fallback"]), ["attr", "is_fallback"], "class_id")
+@query("SELECT primary_research_area, research_goal, count(DISTINCT sample_size) AS ids FROM pool WHERE sample_size IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT sample_size) > 1")
+def label_id_conflicts(spark, sf_dir):
+    """Pairs of pool labels that occur with several sizes, which a class map would refuse."""
+    d = data.table(spark, sf_dir, "pool").select("primary_research_area", "research_goal", "sample_size")
+    return class_conflicts(d, ["primary_research_area", "research_goal"], "sample_size")
+
+
+@query(data.ctes(data.VOCAB_SQL) + "SELECT row_id, " + ", ".join(f"(SELECT CASE WHEN list_position(opts, map_{a}) > 0 THEN list_position(opts, map_{a}) - 1 END FROM vocab WHERE attr = '{a}')::INTEGER AS {a}" for a in data.ATTRIBUTES) + " FROM pool")
+def encoded_labels(spark, sf_dir):
+    """Annotated labels as places in their vocabularies, null where missing or off the list."""
+    d = data.table(spark, sf_dir, "pool").select("row_id", *(F.col("map_" + a).alias(a) for a in data.ATTRIBUTES))
+    return encode_labels(d, data.vocabulary(spark, sf_dir), data.ATTRIBUTES)
 
 
 @query(data.ctes(data.PRIVATE_SQL) + "SELECT row_id, option_id AS class_id FROM private JOIN schema_options o ON o.attr = 'research_goal' AND o.option_value = research_goal")

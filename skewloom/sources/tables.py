@@ -46,6 +46,11 @@ def class_map(df: DataFrame, pair: Sequence[str], class_id: str) -> DataFrame:
     return one.withColumn(class_id, F.when(F.col("_n") <= 1, F.col(class_id)).otherwise(wrong.cast(dict(df.dtypes)[class_id]))).drop("_n")
 
 
+def class_conflicts(df: DataFrame, pair: Sequence[str], class_id: str) -> DataFrame:
+    """(pair, ids): pairs that occur with several class ids, so that no class map exists; null ids do not count."""
+    return df.groupBy(*pair).agg(F.count_distinct(class_id).alias("ids")).where("ids > 1")
+
+
 def add_class_id(df: DataFrame, mapping: DataFrame, pair: Sequence[str], class_id: str) -> DataFrame:
     """Adds the class id of the pair; rows of an unknown pair drop out; a table that has ids stays as it is."""
     return df if class_id in df.columns else df.join(mapping, list(pair))
