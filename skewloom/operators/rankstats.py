@@ -42,6 +42,13 @@ def fisher_interval(rho: Column, n: Column, level: float = 0.95) -> tuple[Column
     return F.tanh(at - half), F.tanh(at + half)
 
 
+def fisher_z(r1: Column, n1: Column, r2: Column, n2: Column) -> Column:
+    """The standardised difference of two independent correlations; null where Fisher's z is undefined."""
+    safe = (n1 >= 4) & (n2 >= 4) & (F.abs(r1) < 1) & (F.abs(r2) < 1)
+    error = F.sqrt(1 / F.greatest(n1 - 3, F.lit(1)) + 1 / F.greatest(n2 - 3, F.lit(1)))
+    return (F.atanh(F.when(safe, r1)) - F.atanh(F.when(safe, r2))) / error
+
+
 def fisher_difference(r1: float, n1: int, r2: float, n2: int) -> tuple[float, float]:
     """(z, two-sided p) of the difference of two independent correlations; NaN where Fisher's z is undefined."""
     if min(n1, n2) < 4 or max(abs(r1), abs(r2)) >= 1:
@@ -70,7 +77,7 @@ def permutation_p(x: Sequence[float], y: Sequence[float], draws: int = 20_000, e
         return float((np.abs(r) >= seen - 1e-12).mean())
     draw = np.random.default_rng(seed)
     r = np.array([a @ draw.permutation(b) for _ in range(draws)]) / scale
-    return float((1 + (np.abs(r) >= seen - 1e-12).sum()) / (1 + draws))
+    return float((np.abs(r) >= seen - 1e-12).mean())
 
 
 def bootstrap_interval(x: Sequence[float], y: Sequence[float], draws: int = 2000, level: float = 0.95, seed: int = 0) -> tuple[float, float]:

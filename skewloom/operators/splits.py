@@ -10,10 +10,23 @@ from pyspark.sql import functions as F
 from ..functions.hashrng import uniform
 
 
+#: Parts of the hash range in which rows are counted before they are ranked; a part of 10^11 rows holds 1.5 million.
+PREFIXES = 65_536
+
+
 def drawn(df: DataFrame, key: Column, n: int, seed: int = 0, tag: str = "sample") -> DataFrame:
-    """n rows without replacement: those of the smallest hash."""
-    u = uniform(seed, tag, key)
-    return df.orderBy(u, key).limit(n)
+    """n rows without replacement: those of the smallest hash.
+
+    Counts per part of the hash range say which parts are taken whole; only the rows of the part that holds the n-th are ranked.
+    """
+    d = df.withColumn("_u", uniform(seed, tag, key)).withColumn("_p", F.floor(F.col("_u") * PREFIXES).cast("int"))
+    counts = d.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    upto = counts.withColumn("_t", F.sum("_c").over(Window.orderBy("_p")))  # at most PREFIXES rows
+    edge = upto.where(F.col("_t") >= n).agg(F.min(F.struct("_p", (F.col("_t") - F.col("_c")).alias("_b"))).alias("e")).first()["e"]
+    if edge is None:  # fewer than n
+        return d.drop("_u", "_p")
+    last = d.where(F.col("_p") == edge["_p"]).orderBy("_u", key).limit(n - edge["_b"])
+    return d.where(F.col("_p") < edge["_p"]).unionByName(last).drop("_u", "_p")
 
 
 def half_split(df: DataFrame, ident: str, seed: int = 0) -> DataFrame:
@@ -22,9 +35,9 @@ def half_split(df: DataFrame, ident: str, seed: int = 0) -> DataFrame:
     The boundary is an exact rank; it comes from counting rows per hash prefix, so that no task sorts
     all rows.
     """
-    d = df.withColumn("_u", uniform(seed, "half", F.col(ident))).withColumn("_p", F.floor(F.col("_u") * 1024).cast("int"))
+    d = df.withColumn("_u", uniform(seed, "half", F.col(ident))).withColumn("_p", F.floor(F.col("_u") * PREFIXES).cast("int"))
     before = d.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.orderBy("_p")  # at most 1,024 rows
+    w = Window.orderBy("_p")  # at most PREFIXES rows
     bounds = before.withColumn("_b", F.sum("_c").over(w) - F.col("_c")).withColumn("_n", F.sum("_c").over(Window.partitionBy())).drop("_c")
     inside = Window.partitionBy("_p").orderBy("_u", ident)
     rank = F.row_number().over(inside) + F.col("_b")
@@ -41,9 +54,9 @@ def group_split(df: DataFrame, group: Sequence[str], parts: Sequence[tuple[str,
     key = F.concat_ws("\x1f", *(F.coalesce(F.col(g).cast("string"), F.lit("\x00")) for g in group))
     d = df.withColumn("_g", F.md5(key))
     sizes = d.groupBy("_g").agg(F.count(F.lit(1)).alias("_c")).withColumn("_u", uniform(seed, "group", F.col("_g")))
-    sizes = sizes.withColumn("_p", F.floor(F.col("_u") * 1024).cast("int"))
+    sizes = sizes.withColumn("_p", F.floor(F.col("_u") * PREFIXES).cast("int"))
     prefix = sizes.groupBy("_p").agg(F.sum("_c").alias("_c"))
-    over = Window.orderBy("_p")  # at most 1,024 rows
+    over = Window.orderBy("_p")  # at most PREFIXES rows
     bounds = prefix.withColumn("_b", F.sum("_c").over(over) - F.col("_c")).withColumn("_n", F.sum("_c").over(Window.partitionBy())).drop("_c")
     running = F.sum("_c").over(Window.partitionBy("_p").orderBy("_u", "_g").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_b")
     placed = sizes.join(F.broadcast(bounds), "_p").withColumn("_t", running)
@@ -74,10 +87,10 @@ def copies_and_remainder(df: DataFrame, klass: str, ident: str, wanted: DataFram
     return sized.withColumn("_k", copies).where("_k > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1))).drop("_k", "_n", "m")
 
 
-def length_matched(q: DataFrame, p: DataFrame, ident: str, bin_: str, seed: int = 0) -> DataFrame:
+def length_matched(q: DataFrame, p: DataFrame, ident: str, bin_: str, seed: int = 0, n: int | None = None) -> DataFrame:
     """Rows of ``q`` whose bins have the shares of ``p``, as many as q's scarcest bin allows; adds ``covered``.
 
-    ``covered`` is the share of ``p`` in bins that q has; bins of q that p lacks drop out.
+    ``covered`` is the share of ``p`` in bins that q has; bins of q that p lacks drop out. With ``n`` a draw of n of them.
     """
     pb = p.groupBy(bin_).agg(F.count(F.lit(1)).alias("_np")).withColumn("_share", F.col("_np") / F.sum("_np").over(Window.partitionBy()))
     qb = q.groupBy(bin_).agg(F.count(F.lit(1)).alias("_nq"))
@@ -88,4 +101,5 @@ def length_matched(q: DataFrame, p: DataFrame, ident: str, bin_: str, seed: int
     need = need.withColumn("_m", F.floor(F.round(F.min(F.col("_nq") / F.col("_w")).over(everywhere), 9)))
     need = need.withColumn("_k", F.least(F.bround(F.round(F.col("_m") * F.col("_w"), 9)), "_nq")).select(bin_, "covered", "_k")
     rank = F.row_number().over(Window.partitionBy(bin_).orderBy(uniform(seed, "length", F.col(ident)), ident))
-    return q.join(F.broadcast(need), bin_).withColumn("_r", rank).where("_r <= _k").drop("_r", "_k")
+    out = q.join(F.broadcast(need), bin_).withColumn("_r", rank).where("_r <= _k").drop("_r", "_k")
+    return out if n is None else drawn(out, F.col(ident), n, seed, "match")

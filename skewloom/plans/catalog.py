@@ -20,5 +20,5 @@ def query(sql: str | None = None):
     return register
 
 
-for _family in ("selection", "labels", "vectors", "distributions", "splits", "reports", "texts", "statistics", "loops", "analysis"):
+for _family in ("selection", "labels", "vectors", "distributions", "splits", "reports", "texts", "statistics", "loops", "analysis", "sources"):
     importlib.import_module(f"skewloom.plans.{_family}_queries")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import operator
 import random
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,10 +19,32 @@ def label_prompt(options: Mapping[str, Sequence[str]], text: Column, instruction
     return F.concat(F.lit(f"{instruction}\nAnswer with JSON only: {{{schema}}}\n\nText:\n"), text)
 
 
-def parse_labels(answer: Column, attributes: Sequence[str]) -> Column:
-    """A struct of labels from an answer that may be fenced; all null if it is no JSON."""
+def parse_labels(answer: Column, attributes: Sequence[str], strict: bool = False) -> Column:
+    """A struct of labels from an answer that may be fenced; all null if it is no JSON, or with ``strict`` an error."""
     bare = F.trim(F.regexp_replace(answer, r"```(json)?", ""))
-    return F.from_json(bare, ", ".join(f"`{a}` string" for a in attributes))
+    return F.from_json(bare, ", ".join(f"`{a}` string" for a in attributes), {"mode": "FAILFAST"} if strict else {})
+
+
+def in_vocabulary(labels: Column, options: Mapping[str, Sequence[str]]) -> Column:
+    """The struct of labels with every label that is no option of its attribute as null."""
+    return F.struct(*(F.when(labels[a].isin(list(o)), labels[a]).alias(a) for a, o in options.items()))
+
+
+def answer_counts(df: DataFrame, labels: Sequence[str], by: Sequence[str] = (), error: str | None = None) -> DataFrame:
+    """(by, answers, errors, unparsed, and the share of answers with each label): how well a service answered.
+
+    An answer is unparsed if it has neither an error nor a label.
+    """
+    none = reduce(operator.and_, (F.col(a).isNull() for a in labels))
+    failed = F.col(error).isNotNull() if error else F.lit(False)
+    agg = [F.count(F.lit(1)).alias("answers"), F.count_if(failed).alias("errors"), F.count_if(none & ~failed).alias("unparsed")]
+    agg += [F.avg(F.col(a).isNotNull().cast("double")).alias(a) for a in labels]
+    return df.groupBy(*by).agg(*agg) if by else df.agg(*agg)
+
+
+def model_tag(model: Column) -> Column:
+    """The last part of a model's path or name."""
+    return F.element_at(F.split(F.rtrim(model, F.lit("/")), "/"), -1)
 
 
 def call_with_retries(call: Callable[[str], str], prompt: str, retries: int = 6, pause: Callable[[float], None] = time.sleep) -> tuple[str | None, str | None]:

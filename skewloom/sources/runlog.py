@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 SWEEP_PATH = r"([^/]+)/lam([0-9.]+)(?:_seed([0-9]+))?/[^/]+$"
+#: The same one level deeper, under a folder of a privacy budget.
+BUDGET_PATH = r"(?:^|/)eps([^/]+)/" + SWEEP_PATH
+#: Runs of the plain method, and the runs of the sweep at strength 0; other strengths such as lam0.5 are no such runs.
 SEED_PATH = r"(?:^|/)seed([0-9]+)/[^/]+$"
+BASE_PATH = r"(?:^|/)lam0(?:\.0)?(?:_seed([0-9]+))?/[^/]+$"
+#: Folders of runs, by either method.
+RUN_FOLDER = r"^(lam[0-9.]+(_seed[0-9]+)?|seed[0-9]+)$"
 
 
 def path_fields(df: DataFrame, path: str) -> DataFrame:
@@ -22,6 +28,42 @@ def path_fields(df: DataFrame, path: str) -> DataFrame:
     })
 
 
+def budget_fields(df: DataFrame, path: str) -> DataFrame:
+    """As ``path_fields``, with ``eps`` from the folder above the annotator's; rows of other paths drop out."""
+    found = path_fields(df.where(F.col(path).rlike(BUDGET_PATH)), path)
+    return found.withColumn("eps", F.regexp_extract(path, BUDGET_PATH, 1))
+
+
+def two_methods(plain: DataFrame, sweep: DataFrame, prior: DataFrame | None = None, path: str = "log_path", names: tuple[str, str] = ("augpe", "maple")) -> DataFrame:
+    """Logs of the plain method and of the sweep's runs at strength 0, with ``method`` and ``seed`` (0 if absent); metrics of the prior
+    sample are the plain method's round -1. Paths of other runs drop out."""
+    seed = lambda pattern: F.coalesce(F.try_element_at(F.regexp_extract_all(path, F.lit(pattern), 1), F.lit(1)), F.lit(""))
+    number = lambda pattern: F.when(seed(pattern) != "", seed(pattern)).otherwise("0").cast("int")
+    of = lambda d, pattern, name: d.where(F.col(path).rlike(pattern)).withColumns({"method": F.lit(name), "seed": number(pattern)})
+    every = of(plain, SEED_PATH, names[0])
+    if prior is not None:
+        every = prior_as_round(of(prior, SEED_PATH, names[0]), every)
+    return every.unionByName(of(sweep, BASE_PATH, names[1]), allowMissingColumns=True)
+
+
+def run_folders(paths: DataFrame, path: str = "log_path") -> DataFrame:
+    """(folder): distinct folders of the files that are named as runs are."""
+    folder = F.regexp_replace(path, r"/[^/]*$", "")
+    named = F.element_at(F.split(folder, "/"), -1).rlike(RUN_FOLDER)
+    return paths.select(folder.alias("folder")).where(named).distinct()
+
+
+def find_run_folders(spark: SparkSession, root: str, pattern: str = "*/lam*", files: str = "round*") -> list[str]:
+    """Run folders under ``root`` that hold round files, in order; none is an error, as a job that finds nothing must not look done."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{pattern}/{files}")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    folders = {re.sub(r"^file:/+", "file:///", f.getPath().getParent().toString()) for f in found or []}
+    runs = sorted(f for f in folders if re.match(RUN_FOLDER, f.rsplit("/", 1)[-1]))
+    if not runs:
+        raise FileNotFoundError(f"no run folder with {files} matches {root}/{pattern}")
+    return runs
+
+
 def no_nan(df: DataFrame) -> DataFrame:
     """NaN becomes null, so that aggregates skip it."""
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c, kind in df.dtypes if kind in ("double", "float")})

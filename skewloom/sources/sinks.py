@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,6 +25,27 @@ def write_table(df: DataFrame, path: str, form: str = "parquet") -> None:
     writer.csv(path, header=True) if form == "csv" else getattr(writer, form)(path)
 
 
+def write_settings(spark: SparkSession, settings: Mapping, path: str) -> None:
+    """Settings, a specification or statistics as one JSON document."""
+    text = json.dumps(settings, indent=2, default=str, sort_keys=True)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path, lineSep="\x00")
+
+
+def read_settings(spark: SparkSession, path: str) -> dict:
+    """What ``write_settings`` wrote."""
+    return json.loads(spark.read.text(path, wholetext=True).first()[0].rstrip("\x00\n"))
+
+
+def write_split(df: DataFrame, path: str, split: str = "split") -> None:
+    """Ids with their split, a partition per split, so that a reader of one split opens no other."""
+    df.write.mode("overwrite").partitionBy(split).parquet(path)
+
+
+def json_lines(columns: Sequence[str]):
+    """The columns as one JSON object; nulls are left out."""
+    return F.to_json(F.struct(*columns))
+
+
 def mean_sd(mean: str, sd: str, digits: int = 4):
     """'mean ± sd' cells."""
     return F.format_string(f"%.{digits}f ± %.{digits}f", F.col(mean), F.coalesce(F.col(sd), F.lit(0.0)))

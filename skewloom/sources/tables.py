@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..spec import Dataset
+
 #: Cells that a CSV reader of data frames takes for missing.
 MISSING = ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "n/a", "#N/A", "<NA>")
 
@@ -30,6 +33,26 @@ def load(spark: SparkSession, root: str, name: str, text_required: bool = True,
     return with_text(df) if text_required else df
 
 
+def dataset_path(dataset: Dataset, root: str, role: str, epsilon: float | None = None) -> str:
+    """Where a dataset keeps the table of a role ('private', 'test', 'validation', 'aim', 'pool'); ``{eps}`` is the budget to one decimal."""
+    if role not in dataset.files:
+        raise KeyError(f"no file for {role}; there are {sorted(dataset.files)}")
+    return f"{root.rstrip('/')}/{dataset.files[role].format(eps='' if epsilon is None else f'{epsilon:.1f}')}"
+
+
+def load_role(spark: SparkSession, dataset: Dataset, root: str, role: str, epsilon: float | None = None, schema: StructType | str | None = None) -> DataFrame:
+    """The table of a role, from Parquet, or from CSV under ``schema``. Private and test rows need a text, others do not.
+
+    The metadata of an infinite budget ('aim') are the private records' own columns.
+    """
+    if role == "aim" and epsilon is not None and math.isinf(epsilon):
+        own = load_role(spark, dataset, root, "private", schema=schema)
+        return own.select(*(c for c in (*dataset.attributes, dataset.class_id) if c in own.columns))
+    path = dataset_path(dataset, root, role, epsilon)
+    df = read_csv(spark, path, schema) if path.endswith(".csv") else spark.read.parquet(path)
+    return with_text(df, dataset.text) if role in ("private", "test") else df
+
+
 def check_root(spark: SparkSession, root: str, dataset: str, default: str) -> None:
     """Refuses a folder that belongs to another dataset: its one-line file DATASET names its own, no file means the default."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/DATASET")
@@ -56,6 +79,16 @@ def add_class_id(df: DataFrame, mapping: DataFrame, pair: Sequence[str], class_i
     return df if class_id in df.columns else df.join(mapping, list(pair))
 
 
+def first_rows(df: DataFrame, n: int, key: str) -> DataFrame:
+    """The n rows of the smallest key: a limit that is asked for."""
+    return df.orderBy(key).limit(n)
+
+
+def with_variations(survivors: DataFrame, times: int) -> DataFrame:
+    """The survivors, with ``copy`` -1, and after them ``times`` copies of each."""
+    return survivors.withColumn("copy", F.lit(-1)).unionByName(replicated(survivors, times))
+
+
 def replicated(df: DataFrame, times: int) -> DataFrame:
     """Every row ``times`` times, with ``copy`` from 0."""
     return df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))) if times > 0 else df.withColumn("copy", F.lit(0)).limit(0)

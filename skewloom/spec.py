@@ -42,6 +42,7 @@ class Dataset:
     row_id: str = "row_id"
     class_id: str | None = None
     budgets: Mapping[float, tuple[int, float]] = field(default_factory=dict)
+    files: Mapping[str, str] = field(default_factory=dict)
 
     @property
     def candidates(self) -> list[str]:
