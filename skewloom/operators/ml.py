@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer
@@ -116,6 +116,35 @@ def tfidf_classifier(train: DataFrame, validation: DataFrame, test: DataFrame, l
     return _named(best[2].transform(b), index.labels, label), best[1]
 
 
+def text_classifier(train: DataFrame, label: str = "label", text: str = "text", c: float = 1.0, min_df: int = 2) -> PipelineModel:
+    """A fitted text classifier that can be saved: counts of words and word pairs, inverse document frequencies, unit rows, logistic regression."""
+    index = StringIndexer(inputCol=label, outputCol="_y", handleInvalid="keep")
+    stages = [*tfidf_pipeline(text, min_df).getStages(), IDF(inputCol="_tf", outputCol="_i"), Normalizer(inputCol="_i", outputCol="features"), index]
+    fit = LogisticRegression(labelCol="_y", regParam=1 / (c * max(train.count(), 1)), elasticNetParam=0, standardization=False, family="multinomial", maxIter=100)
+    return Pipeline(stages=[*stages, fit]).fit(train)
+
+
+def predictor(model: PipelineModel, label: str = "label") -> Callable[[DataFrame], DataFrame]:
+    """A function that adds ``prediction_label`` to texts."""
+    names = F.array(*(F.lit(x) for x in model.stages[-2].labels))
+
+    def predict(df: DataFrame) -> DataFrame:
+        held = df.columns
+        scored = model.transform(df.withColumn(label, F.lit(None).cast("string")) if label not in held else df)
+        return scored.select(*held, F.get(names, F.col("prediction").cast("int")).alias("prediction_label"))
+
+    return predict
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    """Writes a fitted pipeline, replacing what is there."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def perceptron(train: DataFrame, test: DataFrame, label: str = "label", hidden: tuple = (256, 256), seed: int = 0) -> DataFrame:
     """(true, pred) of a multilayer perceptron on standardised vectors."""
     a, b = standardised(train, [test])

@@ -1,7 +1,7 @@
 """Raked selection: quotas of joint cells that meet the targets of several attributes at once.
 
-The cells are a small table (the product of a few vocabularies); fitting them is sequential by
-nature and runs on the driver, everything about rows stays distributed.
+The cells of a run are a small table (the product of a few vocabularies); fitting them is sequential by
+nature and is one task per run, everything about rows stays distributed.
 """
 
 from __future__ import annotations
@@ -9,13 +9,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .selection import largest_remainder, select_by_quota, top_k
-
-#: Joint cells that one run may have.
-MAX_CELLS = 100_000
+from .selection import _with_k, largest_remainder, select_by_quota, top_k
 
 
 def rake(
@@ -58,45 +56,63 @@ def rake(
     return w
 
 
-def raked_quotas(candidates: DataFrame, targets: DataFrame, attributes: Sequence[str], strength: float, k: int, score: str = "score") -> DataFrame:
-    """(attributes..., quota): whole quotas of the joint cells that candidates have, never above what a cell holds.
+def raked_quotas(
+    candidates: DataFrame, targets: DataFrame, attributes: Sequence[str], strength: float, k: int | DataFrame,
+    run: Sequence[str] = (), own: DataFrame | None = None, score: str = "score",
+) -> DataFrame:
+    """(run, attributes..., quota): whole quotas of the joint cells that a run's candidates have, never above what a cell holds.
 
-    ``targets`` has (attr, value, p).
+    ``targets`` has (attr, value, p); ``own`` (run, attr, value, p) replaces them for the runs that it has. ``k`` may be a
+    table (run, k). A run's cells are one task; runs, such as classes, are fitted side by side.
     """
-    base = top_k(candidates, k, score=score).groupBy(*attributes).agg(F.count(F.lit(1)).alias("r"))
-    counts = candidates.groupBy(*attributes).agg(F.count(F.lit(1)).alias("have")).join(base, list(attributes), "left").fillna(0, ["r"])
-    cells = counts.orderBy(*attributes).limit(MAX_CELLS + 1).toPandas()
-    if len(cells) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} joint cells; rake over fewer attributes")
-    goal: dict[str, dict[str, float]] = {a: {} for a in attributes}
-    for r in targets.where(F.col("attr").isin(list(attributes))).collect():  # one row per value of a vocabulary
-        goal[r["attr"]][r["value"]] = r["p"]
-    spark = candidates.sparkSession
-    kind = ", ".join(f"{a} string" for a in attributes)
-    if not len(cells):
-        return spark.createDataFrame([], f"{kind}, quota bigint")
-    have = cells["have"].to_numpy(dtype=float)
-    w = rake(cells["r"].to_numpy() / max(cells["r"].sum(), 1), have / have.sum(), {a: cells[a].to_numpy(dtype=str) for a in attributes}, goal, strength, have / k)
-    cells["w"] = w
-    rows = spark.createDataFrame(cells[[*attributes, "w", "have"]].astype({"w": float, "have": int}))
-    cell = F.concat_ws("\x1f", *attributes)
-    quota = largest_remainder(rows.withColumn("_cell", cell), k, [], "_cell").withColumn("quota", F.least("quota", "have"))
-    return quota.select(*attributes, "quota")
-
-
-def raked_select(candidates: DataFrame, targets: DataFrame, attributes: Sequence[str], strength: float, k: int, score: str = "score") -> DataFrame:
-    """min(k, n) rows whose marginal shares follow the targets; strength 0 is plain top-K.
-
-    Columns as ``select_by_quota`` gives them.
+    if not run:
+        one = lambda d: d if d is None or not isinstance(d, DataFrame) else d.withColumn("_run", F.lit(0))
+        return raked_quotas(one(candidates), targets, attributes, strength, one(k), ["_run"], one(own), score).drop("_run")
+    base = top_k(candidates, k, run, score).groupBy(*run, *attributes).agg(F.count(F.lit(1)).alias("r"))
+    counts = candidates.groupBy(*run, *attributes).agg(F.count(F.lit(1)).alias("have")).join(base, [*run, *attributes], "left").fillna(0, ["r"])
+    cells = _with_k(counts, k, run)
+    named = targets.where(F.col("attr").isin(list(attributes))).select("attr", "value", "p")
+    every = cells.select(*run).distinct()
+    if own is None:
+        goals = every.crossJoin(F.broadcast(named))  # a row per value of the vocabularies
+    else:
+        own = own.where(F.col("attr").isin(list(attributes))).select(*run, "attr", "value", "p")
+        goals = own.unionByName(every.join(own.select(*run).distinct(), list(run), "left_anti").crossJoin(F.broadcast(named)))
+
+    goals = goals.select(*(F.col(c).alias(c) for c in (*run, "attr", "value", "p")))  # columns of its own, for the cogroup
+
+    def fit(cell: pd.DataFrame, goal: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.sort_values(list(attributes), ignore_index=True)
+        wanted: dict[str, dict[str, float]] = {a: {} for a in attributes}
+        for a, v, p in zip(goal["attr"], goal["value"], goal["p"]):
+            wanted[a][v] = p
+        if not len(cell):
+            return cell.assign(w=0.0)
+        have = cell["have"].to_numpy(dtype=float)
+        members = {a: cell[a].to_numpy(dtype=str) for a in attributes}
+        return cell.assign(w=rake(cell["r"].to_numpy() / max(cell["r"].sum(), 1), have / have.sum(), members, wanted, strength, have / cell["_k"].to_numpy()))
+
+    fitted = cells.groupBy(*run).cogroup(goals.groupBy(*run)).applyInPandas(fit, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema), "w double"]))
+    quota = largest_remainder(fitted.withColumn("_cell", F.concat_ws("\x1f", *attributes)), F.col("_k"), run, "_cell")
+    return quota.select(*run, *attributes, F.least("quota", "have").alias("quota"))
+
+
+def raked_select(
+    candidates: DataFrame, targets: DataFrame, attributes: Sequence[str], strength: float, k: int | DataFrame,
+    run: Sequence[str] = (), own: DataFrame | None = None, score: str = "score",
+) -> DataFrame:
+    """min(k, n) rows of every run whose marginal shares follow the targets; strength 0 is plain top-K.
+
+    ``own`` and ``k`` as in ``raked_quotas``; columns as ``select_by_quota`` gives them.
     """
     if strength <= 0:
-        return top_k(candidates, k, score=score).drop("rank").withColumn("by_quota", F.lit(True)).withColumn("in_base", F.lit(True))
-    quotas = raked_quotas(candidates, targets, attributes, strength, k, score).withColumn("cell", F.struct(*attributes)).select("cell", "quota")
-    return select_by_quota(candidates.withColumn("cell", F.struct(*attributes)), quotas, k, score=score).drop("cell")
+        return top_k(candidates, k, run, score).drop("rank").withColumn("by_quota", F.lit(True)).withColumn("in_base", F.lit(True))
+    quotas = raked_quotas(candidates, targets, attributes, strength, k, run, own, score).withColumn("cell", F.struct(*attributes)).select(*run, "cell", "quota")
+    return select_by_quota(candidates.withColumn("cell", F.struct(*attributes)), quotas, k, run, score=score).drop("cell")
 
 
-def marginals(labels: DataFrame, attributes: Sequence[str]) -> DataFrame:
-    """(attr, value, p): shares of each attribute's values; nulls do not count."""
+def marginals(labels: DataFrame, attributes: Sequence[str], run: Sequence[str] = ()) -> DataFrame:
+    """(run, attr, value, p): shares of each attribute's values; nulls do not count."""
     pairs = F.array(*(F.struct(F.lit(a).alias("attr"), F.col(a).alias("value")) for a in attributes))
-    counts = labels.select(F.inline(pairs)).where("value is not null").groupBy("attr", "value").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("attr"))).drop("n")
+    counts = labels.select(*run, F.inline(pairs)).where("value is not null").groupBy(*run, "attr", "value").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*run, "attr"))).drop("n")

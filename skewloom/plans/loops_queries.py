@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -29,12 +30,17 @@ def _loop(spark, sf_dir, **how):
     label = lambda d: clean_labels(d, vocabulary, CELLS)
     embed = lambda d: map_batches(d, "vector array<float>", hashed_embedding())
     own = data.private(spark, sf_dir, "text", *CELLS)
-    voters = embed(own.where("text is not null").select(F.col("row_id").alias("id"), "text")).select("id", "vector")
-    start = data.pool(spark, sf_dir, "text", *CELLS).select(F.col("row_id").alias("cand_id"), "text", *CELLS)
+    klass = (F.col("row_id") % 3).alias("class")
+    voters = embed(own.where("text is not null").select(F.col("row_id").alias("id"), klass, "text")).select("id", "class", "vector")
+    start = data.pool(spark, sf_dir, "text", *CELLS).select(F.col("row_id").alias("cand_id"), klass, "text", *CELLS)
+    target = label(own).withColumn("class", klass)
     s = Settings(k=max(1, start.count() // 7), variations=2, last=1, sigma=2.5788, blind=CELLS, attributes=CELLS, **how)
+    if s.by:  # K and its share of the classes
+        rows = start.groupBy(s.by).count().collect()  # a row per class
+        s = replace(s, class_k={r[0]: max(1, r[1] // 7) for r in rows})
     change = lambda d: d.withColumn("text", F.concat("text", F.lit(" variation "), F.col("copy").cast("string")))
     vary = lambda d, t: variations(d, s.variations, t, change, 1 << 53)
-    return run_loop(start, voters, label(own), s, _fresh(spark), embed, label, vary)
+    return run_loop(start, voters, target, s, _fresh(spark), embed, label, vary)
 
 
 @query()
@@ -45,8 +51,14 @@ def pe_two_rounds(spark, sf_dir):
 
 @query()
 def augpe_two_rounds(spark, sf_dir):
-    """Two rounds of plain top-K selection."""
-    return _loop(spark, sf_dir, mode="plain")
+    """A prior sample and two rounds of plain top-K selection."""
+    return _loop(spark, sf_dir, mode="plain", prior=100)
+
+
+@query()
+def pe_two_rounds_by_class(spark, sf_dir):
+    """Two rounds of vote and raked selection inside each of three classes, each with its own K and marginals."""
+    return _loop(spark, sf_dir, strength=0.5, mode="raked", by="class")
 
 
 @query()
