@@ -95,16 +95,21 @@ def tfidf_pipeline(text: str = "text", min_df: int = 2, most: int = 200_000) ->
 
 def tfidf_classifier(train: DataFrame, validation: DataFrame, test: DataFrame, label: str = "label", text: str = "text", grid: tuple = (0.3, 1.0, 3.0, 10.0)) -> tuple[DataFrame, float]:
     """((true, pred) of the test rows, chosen C): logistic regression on TF-IDF, C by the validation kappa."""
+    train = train.select(label, text).cache()
     pipe = tfidf_pipeline(text).fit(train)
+    counted = lambda d: pipe.transform(d).select(*d.columns, "_tf")
+    own = counted(train).cache()
+    idf = IDF(inputCol="_tf").fit(own)
     # A sparse vector has no elementwise logarithm in the JVM, so this one step runs in Python, on non-zero entries only.
     damp = F.udf(lambda v: Vectors.sparse(v.size, v.indices, 1 + np.log(v.values)), VectorUDT())
-    a, v, b = (pipe.transform(d).withColumn("_t", damp("_tf")) for d in (train, validation, test))
-    idf = IDF(inputCol="_tf").fit(pipe.transform(train))
     weigh = ElementwiseProduct(scalingVec=Vectors.dense(idf.idf.toArray() + 1), inputCol="_t", outputCol="_i")
     unit = Normalizer(inputCol="_i", outputCol="features")
-    a, v, b = (unit.transform(weigh.transform(d)) for d in (a, v, b))
-    index = StringIndexer(inputCol=label, outputCol="_y", handleInvalid="keep").fit(a)
-    a, n = index.transform(a).cache(), train.count()
+    ready = lambda d: unit.transform(weigh.transform(d.withColumn("_t", damp("_tf")))).drop("_tf", "_t", "_i", text)
+    index = StringIndexer(inputCol=label, outputCol="_y", handleInvalid="keep").fit(train)
+    n = train.count()
+    # Every task of an iteration sends a gradient as long as the vocabulary, so tasks get a few thousand rows each.
+    a = index.transform(ready(own)).coalesce(max(1, n // 4000)).cache()
+    v = ready(counted(validation.select(label, text))).cache()
     best = None
     for c in grid:
         m = LogisticRegression(labelCol="_y", regParam=1 / (c * n), elasticNetParam=0, standardization=False, family="multinomial", maxIter=100).fit(a)
@@ -112,8 +117,9 @@ def tfidf_classifier(train: DataFrame, validation: DataFrame, test: DataFrame, l
         kappa = k["kappa"] if k and k["kappa"] is not None else -1.0
         if best is None or kappa > best[0]:
             best = (kappa, c, m)
-    a.unpersist()
-    return _named(best[2].transform(b), index.labels, label), best[1]
+    for d in (a, v, own, train):
+        d.unpersist()
+    return _named(best[2].transform(ready(counted(test))), index.labels, label), best[1]
 
 
 def text_classifier(train: DataFrame, label: str = "label", text: str = "text", c: float = 1.0, min_df: int = 2) -> PipelineModel:

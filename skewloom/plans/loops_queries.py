@@ -34,7 +34,7 @@ def _loop(spark, sf_dir, **how):
     voters = embed(own.where("text is not null").select(F.col("row_id").alias("id"), klass, "text")).select("id", "class", "vector")
     start = data.pool(spark, sf_dir, "text", *CELLS).select(F.col("row_id").alias("cand_id"), klass, "text", *CELLS)
     target = label(own).withColumn("class", klass)
-    s = Settings(k=max(1, start.count() // 7), variations=2, last=1, sigma=2.5788, blind=CELLS, attributes=CELLS, **how)
+    s = Settings(k=max(1, start.count() // 7), variations=6, last=1, sigma=2.5788, blind=CELLS, attributes=CELLS, **how)
     if s.by:  # K and its share of the classes
         rows = start.groupBy(s.by).count().collect()  # a row per class
         s = replace(s, class_k={r[0]: max(1, r[1] // 7) for r in rows})
@@ -76,15 +76,15 @@ def tfidf_lr(spark, sf_dir):
     d = half_split(d.where("text is not null").withColumnRenamed("dominant_data_type", "label"), "row_id")
     known, test = d.where("split = 'ref'").drop("split"), d.where("split = 'query'")
     parts = half_split(known, "row_id", seed=1)
-    pairs, c = ml.tfidf_classifier(parts.where("split = 'ref'"), parts.where("split = 'query'"), test, grid=(1.0, 10.0))
+    pairs, c = ml.tfidf_classifier(parts.where("split = 'ref'"), parts.where("split = 'query'"), test)
     return macro_f1(pairs.withColumn("attr", F.lit("dominant_data_type")), ["attr"]).withColumn("c", F.lit(c))
 
 
 @query()
 def mlp_vectors(spark, sf_dir):
-    """A small perceptron on half the vectors for the other half."""
+    """A perceptron of two hidden layers on half the vectors for the other half."""
     v = half_split(data.vectors(spark, sf_dir), "id").withColumn("label", F.col("label").cast("string"))
-    return macro_f1(ml.perceptron(v.where("split = 'ref'"), v.where("split = 'query'"), hidden=(64,)).withColumn("attr", F.lit("label")), ["attr"])
+    return macro_f1(ml.perceptron(v.where("split = 'ref'"), v.where("split = 'query'")).withColumn("attr", F.lit("label")), ["attr"])
 
 
 @query()
