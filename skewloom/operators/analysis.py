@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import bound
 from ..functions.hashrng import normal, uniform
+from ..storage import written
 from .agreement import chance_agreement, cohen_kappa, confusion, corrected_marginal, jensen_shannon, macro_f1
 from .report import correction_table
 from .selection import top_k
@@ -102,8 +104,12 @@ def vote_correction(candidates: DataFrame, labels: DataFrame, target: DataFrame,
 
 
 def drawn_value(u: Column, steps: Column) -> Column:
-    """The value of a draw ``u`` from a distribution given as an array of (cumulative share, value) in ascending order."""
-    return F.coalesce(F.get(F.filter(steps, lambda s: s["c"] > u), F.lit(0)), F.element_at(steps, -1))["value"]
+    """The value of a draw ``u`` from a distribution given as an array of (cumulative share, value) in ascending order.
+
+    The draw itself is one element of a one-element array, so that its hash is taken once and not for every step.
+    """
+    at = bound(u, lambda x: F.size(F.filter(steps["c"], lambda c: c <= x)))
+    return F.get(steps["value"], F.least(at, F.size(steps) - 1))
 
 
 def distribution_steps(counts: DataFrame, by: Sequence[str], value: str = "value", count: str = "n") -> DataFrame:
@@ -120,7 +126,7 @@ def resampled_floor(labels: DataFrame, draws: int = 20, seed: int = 0) -> DataFr
     A resample draws every label from the labels' distribution, so nothing but counts is moved.
     """
     some = labels.where("value is not null")
-    counts = some.groupBy("attr", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(some.groupBy("attr", "value").agg(F.count(F.lit(1)).alias("n")))
     steps = F.broadcast(distribution_steps(counts, ["attr"]))  # a row per attribute, as long as its vocabulary
     rep = F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))
     each = some.select("id", "attr").join(steps, "attr").withColumn("rep", rep)
@@ -137,7 +143,7 @@ def evaluate(pairs: DataFrame, classes: DataFrame, draws: int = 20, seed: int =
     label do not count. The correction solves for the distribution that the (smoothed) confusion turns into the predicted
     one; the floor is the distance of resampled true labels.
     """
-    known = pairs.where("a is not null")
+    known = written(pairs.where("a is not null").select("id", "attr", "a", "b"))  # read by every measure
     quality = cohen_kappa(known, ["attr"]).select("attr", "n", "kappa").join(macro_f1(known, ["attr"]), "attr")
     true, pred = (known.select("id", "attr", F.col(c).alias("value")) for c in "ab")
     raw = jensen_shannon(pred, true, ["attr"]).withColumnRenamed("jsd", "marginal_jsd")
@@ -185,7 +191,8 @@ def length_null(rows: DataFrame, real: DataFrame, by: Sequence[str], draws: int
     for every row a real text of the nearest length bin that has any (the smaller on ties), ``draws`` times; as only
     histograms count, it draws the attribute's bin from the real bins at that length.
     """
-    counts = real.groupBy("attr", "length_bin", "bin").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(real.groupBy("attr", "length_bin", "bin").agg(F.count(F.lit(1)).alias("n")))
+    rows = written(rows.select("id", *by, "length_bin", "attr", "bin"))
     have = counts.groupBy("attr").agg(F.sort_array(F.collect_set("length_bin")).alias("_have"))
     steps = distribution_steps(counts, ["attr", "length_bin"], "bin").withColumnRenamed("length_bin", "_near")
     goal = counts.groupBy("attr", "bin").agg(F.sum("n").alias("n"))

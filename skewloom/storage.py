@@ -11,6 +11,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +52,20 @@ def forget(df: DataFrame | None) -> None:
         _delete(path, _WRITTEN.pop(path))
 
 
+@contextmanager
+def temporary_tables() -> Iterator[None]:
+    """Deletes at its end the tables written inside: results that read them must be stored or collected before.
+
+    Without it they stay until the process ends, as a lazy result may read them at any time. Long sessions use one block per query.
+    """
+    before = set(_WRITTEN)
+    try:
+        yield
+    finally:
+        for path in set(_WRITTEN) - before:
+            _delete(path, _WRITTEN.pop(path))
+
+
 def _delete(path: str, spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

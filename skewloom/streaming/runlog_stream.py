@@ -23,7 +23,8 @@ def follow_run_logs(
     """Starts the query. ``state`` holds the last line of each (annotator, lam, seed, round) by ``order``.
 
     The state has a row per finished round. Each batch writes a new version of it beside the old one
-    and then points to it, so a reader never sees half a table. ``summarise`` gets the new state.
+    and then points to it, so a reader never sees half a table; versions before the last two are deleted. ``summarise`` gets
+    the new state.
     """
     lines = spark.readStream.schema(schema).json(folder, pathGlobFilter="*.jsonl", recursiveFileLookup=True).withColumn("log_path", F.input_file_name())
 
@@ -34,6 +35,7 @@ def follow_run_logs(
         merged = keep_last(new if old is None else old.unionByName(new), keys, [F.col(order)])
         merged.write.mode("overwrite").parquet(f"{state}/version={number}")
         spark.createDataFrame([(number,)], "version long").coalesce(1).write.mode("append").json(f"{state}-versions")
+        _drop_versions(spark, state, number - 1)
         if summarise is not None:
             summarise(spark.read.parquet(f"{state}/version={number}"))
 
@@ -41,6 +43,16 @@ def follow_run_logs(
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")).start()
 
 
+def _drop_versions(spark: SparkSession, state: str, before: int) -> None:
+    """Deletes versions older than ``before``, which readers may still have open."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(state)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for f in fs.listStatus(path):
+        name = f.getPath().getName()
+        if name.startswith("version=") and int(name[8:]) < before:
+            fs.delete(f.getPath(), True)
+
+
 def read_state(spark: SparkSession, state: str) -> DataFrame | None:
     """The latest version of the state; None before the first batch."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{state}-versions")

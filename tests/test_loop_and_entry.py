@@ -5,7 +5,8 @@ from skewloom.operators.loop import AnnotatorRegistry, Settings, run_loop, varia
 from skewloom.operators.ml import divergence_score, probe_kappa
 from skewloom.sources.caches import annotations_to_do, through_cache
 from skewloom.sources.connectors import hashed_embedding, map_batches
-from skewloom.storage import forget, shared_dir, written
+from skewloom import storage
+from skewloom.storage import forget, shared_dir, temporary_tables, written
 
 SF = "/root/testdata/sf0.001"
 
@@ -83,6 +84,10 @@ def test_written_tables(spark):
     assert t.count() == 5 and t._skewloom_path.startswith(shared_dir(spark))
     forget(t)
     forget(None)
+    with temporary_tables():
+        inside = written(spark.range(3).toDF("x"))
+        assert inside.count() == 3
+    assert inside._skewloom_path not in storage._WRITTEN
 
 
 def test_every_query_has_rows_or_a_schema_and_sql_names_match(spark):
