@@ -44,8 +44,8 @@ def budget_last_round(spark, sf_dir):
 _PLAIN = "regexp_replace(log_path, '^.*/lam1(\\.0)?(_seed([0-9]+))?/', 'runs/seed\\3/')"
 
 
-@query(f"""WITH a AS (SELECT 'augpe' AS method, regexp_extract(p, 'seed([0-9]+)/', 1)::INTEGER AS seed, round, moved FROM (SELECT {_PLAIN} AS p, round, moved FROM run_log WHERE regexp_matches(log_path, '/lam1(\\.0)?_seed[0-9]+/')) WHERE regexp_matches(p, '(^|/)seed[0-9]+/[^/]+$')),
-b AS (SELECT 'maple' AS method, coalesce(nullif(regexp_extract(log_path, 'lam0(\\.0)?_seed([0-9]+)/', 2), ''), '0')::INTEGER AS seed, round, moved FROM run_log WHERE regexp_matches(log_path, '(^|/)lam0(\\.0)?(_seed[0-9]+)?/[^/]+$'))
+@query(f"""WITH a AS (SELECT 'plain' AS method, regexp_extract(p, 'seed([0-9]+)/', 1)::INTEGER AS seed, round, moved FROM (SELECT {_PLAIN} AS p, round, moved FROM run_log WHERE regexp_matches(log_path, '/lam1(\\.0)?_seed[0-9]+/')) WHERE regexp_matches(p, '(^|/)seed[0-9]+/[^/]+$')),
+b AS (SELECT 'sweep' AS method, coalesce(nullif(regexp_extract(log_path, 'lam0(\\.0)?_seed([0-9]+)/', 2), ''), '0')::INTEGER AS seed, round, moved FROM run_log WHERE regexp_matches(log_path, '(^|/)lam0(\\.0)?(_seed[0-9]+)?/[^/]+$'))
 SELECT method, seed, round, moved FROM a UNION ALL SELECT method, seed, -1, NULL FROM a WHERE round = 0 UNION ALL SELECT method, seed, round, moved FROM b""")
 def two_methods_rounds(spark, sf_dir):
     """Rounds of the plain method, its prior as round -1, and of the sweep at strength 0; lam0.25 and the like are left out."""

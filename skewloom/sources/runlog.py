@@ -34,7 +34,7 @@ def budget_fields(df: DataFrame, path: str) -> DataFrame:
     return found.withColumn("eps", F.regexp_extract(path, BUDGET_PATH, 1))
 
 
-def two_methods(plain: DataFrame, sweep: DataFrame, prior: DataFrame | None = None, path: str = "log_path", names: tuple[str, str] = ("augpe", "maple")) -> DataFrame:
+def two_methods(plain: DataFrame, sweep: DataFrame, prior: DataFrame | None = None, path: str = "log_path", names: tuple[str, str] = ("plain", "sweep")) -> DataFrame:
     """Logs of the plain method and of the sweep's runs at strength 0, with ``method`` and ``seed`` (0 if absent); metrics of the prior
     sample are the plain method's round -1. Paths of other runs drop out."""
     seed = lambda pattern: F.coalesce(F.try_element_at(F.regexp_extract_all(path, F.lit(pattern), 1), F.lit(1)), F.lit(""))

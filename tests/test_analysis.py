@@ -111,7 +111,7 @@ def test_labels_paths_and_answers(spark, tmp_path):
     with pytest.raises(Exception, match="several class ids"):
         class_map(wrong, ["pair"], "id").collect()
     logs = spark.createDataFrame([("r/seed3/m.jsonl", 0), ("r/seedX/m.jsonl", 1), ("m/lam0_seed2/m.jsonl", 2), ("m/lam0.0/m.jsonl", 3), ("m/lam0.5/m.jsonl", 4)], "log_path string, round int")
-    assert sorted((r["method"], r["seed"], r["round"]) for r in two_methods(logs, logs, logs.where("round = 0").select("log_path")).collect()) == [("augpe", 3, -1), ("augpe", 3, 0), ("maple", 0, 3), ("maple", 2, 2)]
+    assert sorted((r["method"], r["seed"], r["round"]) for r in two_methods(logs, logs, logs.where("round = 0").select("log_path")).collect()) == [("plain", 3, -1), ("plain", 3, 0), ("sweep", 0, 3), ("sweep", 2, 2)]
     assert metric_columns(spark.createDataFrame([(1.0, 2, "s", 3.0)], "jsd_a double, mauve int, jsd_b string, other double")) == ["jsd_a", "mauve"]
     root = f"file://{tmp_path}"
     with pytest.raises(FileNotFoundError):
