@@ -93,12 +93,21 @@ def hashed_embedding(text: str = "text", size: int = 64) -> Callable[[pd.DataFra
 
         import numpy as np
 
-        out = np.zeros((len(b), size), dtype=np.float32)
+        class Places(dict):
+            """Place of a word or pair, those of the positive sign after the others; remembers 200,000."""
+
+            def __missing__(self, g):
+                h = zlib.crc32((g if isinstance(g, str) else f"{g[0]} {g[1]}").encode())
+                at = h % size + (size if h & 0x80000000 else 0)
+                if len(self) < 200_000:
+                    self[g] = at
+                return at
+
+        out, places = np.zeros((len(b), size), dtype=np.float32), Places()
         for i, t in enumerate(b[text].fillna("")):
             w = t.lower().split()
-            for g in (*w, *(f"{x} {y}" for x, y in zip(w, w[1:]))):
-                h = zlib.crc32(g.encode())
-                out[i, h % size] += 1 if h & 0x80000000 else -1
+            n = np.bincount([places[g] for g in (*w, *zip(w, w[1:]))], minlength=2 * size) if w else np.zeros(2 * size)
+            out[i] = n[size:] - n[:size]
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return pd.DataFrame({"vector": list(out / np.where(n > 0, n, 1))})
 
