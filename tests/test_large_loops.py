@@ -80,3 +80,7 @@ def test_embedding_is_as_published():
             want[h % 8] += 1 if h & 0x80000000 else -1
         n = np.linalg.norm(want)
         assert np.array_equal(v, want / (n if n > 0 else 1))
+
+
+def test_raked_rounds_embed_each_text_once(spark, tmp_path):
+    assert rounds(spark, f"file://{tmp_path}/raked", mode="raked", strength=0.5) == 40 + 30 + 30
