@@ -84,3 +84,20 @@ def test_embedding_is_as_published():
 
 def test_raked_rounds_embed_each_text_once(spark, tmp_path):
     assert rounds(spark, f"file://{tmp_path}/raked", mode="raked", strength=0.5) == 40 + 30 + 30
+
+
+def test_rounds_by_class_embed_each_text_once(spark, tmp_path):
+    assert rounds(spark, f"file://{tmp_path}/class", mode="raked", strength=0.5, by="class", class_k={0: 5, 1: 5}) == 40 + 30 + 30
+
+
+def test_votes_by_class_over_blocks_equal_brute_force(spark, monkeypatch):
+    x = np.random.default_rng(6).normal(size=(80, 6))
+    g = np.arange(80) % 3
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(knn, "GRID_TASKS", 9)
+    want = dict.fromkeys(range(50), 0)
+    for i in range(50, 80):
+        own = [j for j in range(50) if g[j] == g[i]]
+        want[own[brute(x[i : i + 1], x[own], own)[0]]] += 1
+    got = knn.vote_histogram(vectors(spark, x[50:], g[50:], first=50), vectors(spark, x[:50], g[:50]), by="g")
+    assert {r["cand_id"]: r["votes"] for r in got.collect()} == want
