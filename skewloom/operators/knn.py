@@ -22,8 +22,8 @@ from ..storage import written
 BLOCK_ROWS = 20_000
 #: Blocks of short vectors may be so many times larger, as long as the grid keeps so many tasks: less is sent twice.
 WIDER, GRID_TASKS = 4, 64
-#: Queries and references of a tile: 512 x 1,024 single floats stay near a core.
-TILE = 512, 1024
+#: Queries and references of a tile: 1,024 x 512 single floats stay near a core.
+TILE = 1024, 512
 #: Classes whose numbers of blocks a join may broadcast.
 MAX_CLASSES = 100_000
 
@@ -135,11 +135,12 @@ def _closest(q: np.ndarray, ids: np.ndarray, refs: np.ndarray) -> tuple[np.ndarr
     tiles = [np.ascontiguousarray(right[j : j + TILE[1]].T) for j in range(0, len(right), TILE[1])]
     del r, p, right
     found, away = np.empty(len(q), dtype=ids.dtype), np.full(len(q), np.inf)
+    space = np.empty(TILE[0] * TILE[1], dtype=np.float32)  # the same memory for every tile
     for i in range(0, len(q), TILE[0]):
         a, wide = left[i : i + TILE[0]], margin[i : i + TILE[0]]
         least = np.full(len(a), np.inf, dtype=np.float32)
         for j, b in enumerate(tiles):
-            rough = a @ b
+            rough = np.matmul(a, b, out=space[: len(a) * b.shape[1]].reshape(len(a), -1))
             low = rough.min(axis=1)
             rows = np.flatnonzero(low <= least + wide)
             least = np.minimum(least, low)

@@ -5,8 +5,10 @@ from __future__ import annotations
 import operator
 import random
 import time
+from array import array
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from functools import reduce
+from functools import lru_cache, reduce
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -85,29 +87,72 @@ def _schema(df: DataFrame, more: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), more])
 
 
+@lru_cache(maxsize=1024)
+def _shift(n: int):
+    """Four tables of 256: the exclusive or of their entries for the bytes of crc32(a) is crc32(a + b) ^ crc32(b), where b has n bytes."""
+    import zlib
+
+    import numpy as np
+
+    zeros = bytes(n)
+    moved = np.array([zlib.crc32(zeros, 1 << i ^ 0xFFFFFFFF) ^ 0xFFFFFFFF for i in range(32)], dtype=np.uint32)
+    table = np.zeros((4, 256), dtype=np.uint32)
+    for i, m in enumerate(moved):
+        byte, bit = divmod(i, 8)
+        table[byte, 1 << bit : 2 << bit] = table[byte, : 1 << bit] ^ m
+    return table
+
+
+#: Texts whose words are hashed together, and words that are remembered between them.
+EMBED_TEXTS, EMBED_WORDS = 200, 50_000
+
+
 def hashed_embedding(text: str = "text", size: int = 64) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """An offline stand-in for an embedder: signed hashes of words and word pairs, to length 1."""
+    """An offline stand-in for an embedder: signed hashes of words and word pairs, to length 1.
+
+    A word is hashed once; the hash of a pair is put together from those of its words.
+    """
 
     def embed(b: pd.DataFrame) -> pd.DataFrame:
         import zlib
 
         import numpy as np
 
-        class Places(dict):
-            """Place of a word or pair, those of the positive sign after the others; remembers 200,000."""
-
-            def __missing__(self, g):
-                h = zlib.crc32((g if isinstance(g, str) else f"{g[0]} {g[1]}").encode())
-                at = h % size + (size if h & 0x80000000 else 0)
-                if len(self) < 200_000:
-                    self[g] = at
-                return at
-
-        out, places = np.zeros((len(b), size), dtype=np.float32), Places()
-        for i, t in enumerate(b[text].fillna("")):
-            w = t.lower().split()
-            n = np.bincount([places[g] for g in (*w, *zip(w, w[1:]))], minlength=2 * size) if w else np.zeros(2 * size)
-            out[i] = n[size:] - n[:size]
+        class Words(dict):
+            """Number of a word; arrays have its hash, that of the word after a blank, and where the tables of the latter's length begin."""
+
+            def __init__(self):
+                self.alone, self.after, self.table, self.lengths, self.tables = array("I"), array("I"), array("q"), {}, np.zeros(0, dtype=np.uint32)
+
+            def __missing__(self, w):
+                e = b" " + w.encode()
+                if len(e) not in self.lengths:
+                    self.lengths[len(e)] = len(self.tables)
+                    self.tables = np.concatenate([self.tables, _shift(len(e)).ravel()])
+                self.alone.append(zlib.crc32(e[1:]))
+                self.after.append(zlib.crc32(e))
+                self.table.append(self.lengths[len(e)])
+                self[w] = n = len(self)
+                return n
+
+        def places(h, of):
+            """Place of a hash within the counts of its text, those of the positive sign after the others."""
+            return of * (2 * size) + (h % np.uint32(size)).astype(np.int64) + np.where(h & np.uint32(0x80000000), size, 0)
+
+        out, known, all_texts = np.zeros((len(b), size), dtype=np.float32), Words(), b[text].fillna("").tolist()
+        for begin in range(0, len(b), EMBED_TEXTS):
+            if len(known) > EMBED_WORDS:
+                known = Words()
+            split = [t.lower().split() for t in all_texts[begin : begin + EMBED_TEXTS]]
+            of = np.repeat(np.arange(len(split)), [len(w) for w in split])
+            w = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=len(of))
+            alone, after, table = np.array(known.alone, dtype=np.uint32), np.array(known.after, dtype=np.uint32), np.array(known.table, dtype=np.int64)
+            last = 1 + np.flatnonzero(of[1:] == of[:-1])
+            h, at, pair = alone[w[last - 1]], table[w[last]], after[w[last]]
+            for k in range(4):
+                pair ^= known.tables[at + 256 * k + (h >> np.uint32(8 * k) & np.uint32(255))]
+            c = np.bincount(np.concatenate([places(alone[w], of), places(pair, of[last])]), minlength=len(split) * 2 * size).reshape(-1, 2 * size)
+            out[begin : begin + len(split)] = c[:, size:] - c[:, :size]
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return pd.DataFrame({"vector": list(out / np.where(n > 0, n, 1))})
 

@@ -101,3 +101,38 @@ def test_votes_by_class_over_blocks_equal_brute_force(spark, monkeypatch):
         want[own[brute(x[i : i + 1], x[own], own)[0]]] += 1
     got = knn.vote_histogram(vectors(spark, x[50:], g[50:], first=50), vectors(spark, x[:50], g[:50]), by="g")
     assert {r["cand_id"]: r["votes"] for r in got.collect()} == want
+
+
+def test_raked_rounds_label_the_target_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(b):
+        seen.add(len(b))
+        return pd.DataFrame({"a": (b["id"] % 2).astype(str)})
+
+    embed = lambda d: map_batches(d, "vector array<float>", hashed_embedding(size=16))
+    text = F.concat(F.lit("word "), (F.col("id") % 7).cast("string")).alias("text")
+    start = spark.range(30).select(F.col("id").alias("cand_id"), text, (F.col("id") % 3 % 2).cast("string").alias("a"))
+    voters = embed(spark.range(40).select("id", text)).select("id", "vector")
+    target = map_batches(spark.range(12), "a string", counted)
+    s = Settings(k=10, variations=2, last=1, sigma=1.0, strength=0.5, mode="raked", blind=["a"], attributes=["a"])
+    vary = lambda d, t: variations(d, s.variations, t, lambda x: x, 1 << 53)
+    assert run_loop(start, voters, target, s, f"file://{tmp_path}/target", embed, lambda d: d, vary).count() == 2
+    assert seen.value == 12
+
+
+def test_embedding_hashes_each_word_once_and_no_pairs(monkeypatch):
+    import zlib
+
+    draw, words = np.random.default_rng(7), [f"w{'é' * (i % 4)}{i}" for i in range(30)]
+    texts = [" ".join(words[i] for i in draw.integers(0, 30, 60)) for _ in range(450)] + ["b " + "c" * 70_000, " ", None]
+    want, hashed, crc32 = [], [], zlib.crc32
+    for t in texts:
+        w, n = (t or "").lower().split(), np.zeros(24, dtype=np.float32)
+        for g in (*w, *(f"{p} {q}" for p, q in zip(w, w[1:]))):
+            h = crc32(g.encode())
+            n[h % 24] += 1 if h & 0x80000000 else -1
+        want.append(n / (np.linalg.norm(n) or 1))
+    monkeypatch.setattr(zlib, "crc32", lambda data, *more: hashed.append(data) or crc32(data, *more))
+    assert np.array_equal(np.stack(hashed_embedding(size=24)(pd.DataFrame({"text": texts}))["vector"]), np.stack(want))
+    assert len([h for h in hashed if h.strip(b"\0")]) <= 2 * 32
