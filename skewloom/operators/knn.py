@@ -22,6 +22,8 @@ from ..storage import written
 BLOCK_ROWS = 20_000
 #: Blocks of short vectors may be so many times larger, as long as the grid keeps so many tasks: less is sent twice.
 WIDER, GRID_TASKS = 4, 64
+#: Partitions for each block pair, so that few share one and none waits for another's, and the most of them.
+SPREAD, MOST_PARTITIONS = 4, 2_000
 #: Queries and references of a tile: 1,024 x 512 single floats stay near a core.
 TILE = 1024, 512
 #: Classes whose numbers of blocks a join may broadcast.
@@ -75,6 +77,8 @@ def _grid(queries: DataFrame, refs: DataFrame, k: int, by: str | None, schema: s
         return pd.concat(out) if out else pd.DataFrame({"query_id": q["id"][:0], "ref_id": r["id"][:0], "distance": np.zeros(0)})
 
     at = [*keys, "_q", "_r"]
+    n = min(MOST_PARTITIONS, SPREAD * tasks(block // BLOCK_ROWS))
+    asked, known = asked.repartition(n, *at), known.repartition(n, *at)
     return asked.groupBy(*at).cogroup(known.groupBy(*at)).applyInPandas(run, schema)
 
 

@@ -136,3 +136,11 @@ def test_embedding_hashes_each_word_once_and_no_pairs(monkeypatch):
     monkeypatch.setattr(zlib, "crc32", lambda data, *more: hashed.append(data) or crc32(data, *more))
     assert np.array_equal(np.stack(hashed_embedding(size=24)(pd.DataFrame({"text": texts}))["vector"]), np.stack(want))
     assert len([h for h in hashed if h.strip(b"\0")]) <= 2 * 32
+
+
+def test_pairs_of_blocks_have_partitions_of_their_own(spark, monkeypatch):
+    x = np.random.default_rng(8).normal(size=(80, 6))
+    g = np.arange(80) % 3
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 5)
+    found = knn._grid(vectors(spark, x[50:], g[50:], first=50), vectors(spark, x[:50], g[:50]), 1, "g", "query_id bigint, ref_id bigint, distance double")
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > int(spark.conf.get("spark.sql.shuffle.partitions"))
